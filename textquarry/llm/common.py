@@ -76,3 +76,32 @@ def lists(values, counts, kind: pa.DataType) -> pa.Array:
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+class Recent(dict):
+    """A cache of a pure function of a string: at most twice limit entries, those that are asked again outlive those that aren't; keys longer than longest are not kept."""
+
+    def __init__(self, function, limit: int, longest: int):
+        super().__init__()
+        self.function, self.limit, self.longest, self.old = function, limit, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.function(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+_kept: dict = {}
+
+
+def kept(key, make):
+    """make() once in a process: what a Python worker keeps from task to task."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]

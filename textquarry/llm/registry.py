@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textquarry.llm import byte_bpe, exact_dedup, packing, token_counts
+from textquarry.llm import byte_bpe, exact_dedup, near_dedup, packing, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
+        "op3_near_dedup": near_dedup.op3_near_dedup,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
         "op10_token_counts": token_counts.op10_token_counts,
     }
