@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import id_and_text, lists, map_batches, table
+from textquarry.llm.common import Recent, id_and_text, kept, lists, map_batches, table
 
-#: Pieces in a worker's cache, and the longest piece (bytes) that is kept there.
-CACHE_PIECES, CACHE_PIECE_BYTES = 400_000, 48
+#: Pieces of a generation in a worker's cache, and the longest piece (characters) that is kept there.
+CACHE_PIECES, CACHE_PIECE_CHARS = 350_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -29,6 +29,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+def ranks_and_tokens(path: str) -> tuple[dict[bytes, int], list[bytes]]:
+    ranks = read_ranks(path)
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return ranks, tokens
+
+
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece: the pair of lowest rank is merged first, the leftmost of equals."""
     whole = ranks.get(piece)
@@ -90,20 +98,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         import numpy as np
         import regex
 
-        ranks, find, cache = read_ranks(ranks_path), regex.compile(pattern).findall, {}
-        tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
-
-        def ids_of(piece: str) -> tuple[int, ...]:
-            ids = cache.get(piece)
-            if ids is None:
-                ids = tuple(encode_piece(piece.encode(), ranks))
-                if len(piece) <= CACHE_PIECE_BYTES:
-                    if len(cache) >= CACHE_PIECES:
-                        cache.clear()
-                    cache[piece] = ids
-            return ids
+        find = regex.compile(pattern).findall
+        ranks, tokens = kept(("ranks", ranks_path), lambda: ranks_and_tokens(ranks_path))
+        ids_of = kept(("pieces", ranks_path), lambda: Recent(lambda piece: tuple(encode_piece(piece.encode(), ranks)), CACHE_PIECES, CACHE_PIECE_CHARS)).__getitem__
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             flat, counts, decoded = [], [], []
@@ -125,7 +122,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """encoded's doc_id and the bytes of its ids (null: none), in the column decoded."""
 
     def setup():
-        tokens = {rank: token for token, rank in read_ranks(ranks_path).items()}
+        tokens = kept(("ranks", ranks_path), lambda: ranks_and_tokens(ranks_path))[1]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"".join(map(tokens.__getitem__, ids or ())) for ids in batch.column(1).to_pylist()], type=pa.binary())], names=["doc_id", "decoded"])
