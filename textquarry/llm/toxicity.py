@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from textquarry.llm.common import Recent, crc_mod, id_and_text, map_batches, table
 
 #: Bounds of the training sample: documents of each label, characters of one.
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 3000, 100_000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1200, 2400, 50_000
 FEATURES, START_BIAS, EPOCHS, STEP, DECAY = 1 << 18, -5.0, 60, 0.15, 1e-6
 THRESHOLD = 0.7
 #: One feature in ten thousand passes by chance.
@@ -88,17 +89,16 @@ class Model:
 
 def telling(doc: np.ndarray, word: np.ndarray, of_word: np.ndarray, feature: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which features tell toxic documents from clean ones: chi-squared of the documents that have them, CHI2 at least. doc and word: of each token; of_word and feature: each word's features."""
-    n_words = of_word.max() + 1 if len(of_word) else 0
-    pairs = np.unique(doc * np.int64(n_words) + word)
-    doc, word = pairs // n_words, pairs % n_words
-    first = np.searchsorted(of_word, np.arange(n_words + 1))
-    many = np.diff(first)[word]
-    at = np.repeat(first[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    pairs = np.unique(np.repeat(doc, many) * np.int64(FEATURES) + feature[at])
-    doc, f = pairs // FEATURES, pairs % FEATURES
+    edges = np.searchsorted(of_word, np.arange(of_word[-1] + 2 if len(of_word) else 1))
+    a, have = np.zeros(FEATURES), np.zeros(FEATURES)
+    ends = np.searchsorted(doc, np.arange(len(y) + 1))
+    for d, label in enumerate(y):
+        words = [feature[edges[w] : edges[w + 1]] for w in np.unique(word[ends[d] : ends[d + 1]]) if w + 1 < len(edges)]
+        if words:
+            seen = np.unique(np.concatenate(words))
+            have[seen] += 1
+            a[seen] += label
     n, toxic = len(y), y.sum()
-    a = np.bincount(f, y[doc], FEATURES)
-    have = np.bincount(f, minlength=FEATURES)
     b, c = have - a, toxic - a
     d = n - toxic - b
     return n * np.maximum(np.abs(a * d - b * c) - n / 2, 0) ** 2 / np.maximum(1.0 * have * (n - have) * toxic * (n - toxic), 1) >= CHI2
@@ -107,7 +107,7 @@ def telling(doc: np.ndarray, word: np.ndarray, of_word: np.ndarray, feature: np.
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
     """Noisy-or likelihood by full-batch Adam; words are looked up once, sentences are sparse rows of words."""
     index: dict[str, int] = {}
-    word_of, sentence_of, doc_of = [], [], []
+    word_of, sentence_of, doc_of = (array("i") for _ in range(3))
     for d, text in enumerate(texts):
         for m in SENTENCE.finditer(text):
             for w in m.group().split():
@@ -117,12 +117,12 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
     bias, weights = START_BIAS, np.zeros(FEATURES)
     if not word_of or len(set(labels)) < 2:
         return Model({}, bias)
-    of_word, feature = [], []
+    of_word, feature = array("i"), array("i")
     for w, k in index.items():
         fs = sorted(map(hashed, grams(w)))
-        of_word += [k] * len(fs)
-        feature += fs
-    word_of, sentence_of, doc_of, of_word, feature = (np.array(x, dtype=np.int64) for x in (word_of, sentence_of, doc_of, of_word, feature))
+        of_word.extend([k] * len(fs))
+        feature.extend(fs)
+    word_of, sentence_of, doc_of, of_word, feature = (np.array(x, dtype=np.int32) for x in (word_of, sentence_of, doc_of, of_word, feature))
     y, n_docs, n_sentences = np.array(labels), len(texts), len(doc_of)
     told = telling(doc_of[sentence_of], word_of, of_word, feature, y)[feature]
     of_word, feature = of_word[told], feature[told]
@@ -177,6 +177,21 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
     return out.select("doc_id", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "spans")
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below the threshold, with all their columns; nothing moves."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def setup():
+        of = shared.value.scorer()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.filter(pa.array([of(t or "")[0] < threshold for t in batch.column(at).to_pylist()]))
+
+        return step
+
+    return map_batches(docs, setup, docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) != 1)
