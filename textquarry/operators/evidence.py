@@ -116,7 +116,8 @@ def section_errors(text: Column, headings: list[str]) -> Column:
 
 
 def json_valid(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """Whether a text is one JSON value. The parser stops after a first value, so the text is tried inside an array and inside an object: what follows a value breaks one of them."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull() & (F.trim(text) != "")
 
 
 def record_errors(text: Column) -> Column:
