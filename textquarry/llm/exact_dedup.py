@@ -85,20 +85,20 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str | None = None, i
 
 
 def keep_first(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
-    """The documents that stay, with all their columns. Rows that share a doc_id with a dropped one are told apart by their digest; rows equal in both stay once."""
-    answers = written(deduplicate(docs, index, batch), "answers")
-    again = answers.filter("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    kept = answers.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    twice = written(again.join(kept, [again["_id"].eqNullSafe(kept["_id"]), again["_digest"] == kept["_digest"]], "left_semi").distinct(), "twice")
-    gone = again.join(twice, [again["_id"].eqNullSafe(twice["_id"]), again["_digest"] == twice["_digest"]], "left_anti").distinct()
-    digest = normal_digest(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    stay = docs.join(gone, [docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), digest == F.col("_digest")], "left_anti")
-    if twice.isEmpty():
+    """The documents that stay, with all their columns. A doc_id may name several rows: its rows are told apart by digest, and of rows equal in both one stays."""
+    answers = written(deduplicate(docs, index, batch), "answers").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"), "kept")
+    by_key = answers.groupBy("__id", "__digest").agg(F.max("kept").alias("some"), F.min("kept").alias("all"))
+    gone, partly = written(by_key.filter("NOT some"), "gone"), written(by_key.filter("some AND NOT all"), "partly")
+
+    def same(keys: DataFrame) -> list[Column]:
+        return [docs["doc_id"].cast("long").eqNullSafe(keys["__id"]), normal_digest(F.coalesce(docs["text"].cast("string"), F.lit(""))) == keys["__digest"]]
+
+    stay = docs.join(gone, same(gone), "left_anti")
+    if partly.isEmpty():
         return stay
-    is_twice = [stay["doc_id"].cast("long").eqNullSafe(F.col("_id")), normal_digest(F.coalesce(stay["text"].cast("string"), F.lit(""))) == F.col("_digest")]
-    # Equal rows of one doc_id: the number is the first in the table by text, so one of them stays.
-    once = stay.join(twice, is_twice, "inner").groupBy("_id", "_digest").agg(F.min(F.struct((-F.char_length("text")).alias("n"), *[F.col(c) for c in docs.columns])).alias("r"))
-    return stay.join(twice, is_twice, "left_anti").unionByName(once.select(*[F.col("r")[c].alias(c) for c in docs.columns]))
+    row = F.struct((-F.char_length("text")).alias("__n"), *[F.col(c) for c in docs.columns])
+    once = docs.join(partly, same(partly)).groupBy("__id", "__digest").agg(F.min(row).alias("__row"))
+    return stay.join(partly, same(partly), "left_anti").unionByName(once.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
