@@ -4,11 +4,13 @@
 2. One hash of each shingle is enough: its high bits choose one of BANDS * ROWS bins, each bin keeps its
    smallest value, and an empty bin takes the value of the first filled bin in an order of its own (optimal
    densification: a fresh random order per empty bin). ROWS bins form a band, a band's values a bucket.
-3. In a bucket, candidate edges form a star. First each node is held against one centre, that which most of
-   its buckets have. Components of the confirmed links follow; in buckets that still hold several components,
+3. In a bucket, candidate edges form a star. First each node is held against one centre, the node of its
+   buckets that sits in the largest buckets (as the text does that copies were made from), then against each bucket's. Components of the confirmed links follow; in buckets that still hold several components,
    nodes of the smallest of these become centres, a growing number each round, and are held against
    the bucket's nodes of other components until no bucket has an untried pair across components. So no link
-   between candidates is lost, and pairs within a component are never listed.
+   between candidates is lost, and pairs within a component are never listed. Before that, shingles that
+   no other of these nodes has, and what each node shares with its first centre, bound every intersection,
+   and nodes and pairs that cannot reach the similarity go.
 4. Links are confirmed on the full sets: 100 * intersection >= 80 * union. Sizes that cannot reach that are
    left out beforehand.
 
@@ -33,6 +35,8 @@ from textquarry.llm.common import id_and_text, lists, map_batches, table, writte
 from textquarry.llm.graph import components
 
 BANDS, ROWS, PERCENT = 32, 5, 80
+#: Rounds in which a bucket's best-known node is its centre; by how much the number of centres grows after that.
+KNOWN_TURNS, GROW = 2, 8
 #: Sets of fewer shingles can't be similar to a different set: 4 of 5 is the first 0.8.
 LEAST_SHINGLES = 4
 
@@ -144,18 +148,36 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return map_batches(docs, setup, "digest binary, shingles array<long>")
 
 
-def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges (a centre, b) whose full sets are similar. b's set meets the edge first; a centre's set then joins many edges, and adaptive execution may split those."""
-    leaf = edges.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    centre = edges.select("a").distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    return leaf.join(centre, "a").withColumn("both", both).filter(100 * F.col("both") >= percent * (F.size("of_a") + F.size("of_b") - F.col("both"))).select("a", "b")
+def measured(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The edges (a centre, b) with the size of the intersection of the full sets, both, and similar's two sizes. b's set meets the edge first; a centre's set then joins many edges, and adaptive execution may split those."""
+    leaf = edges.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+    centre = edges.select("a").distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
+    return leaf.join(centre, "a").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"))
+
+
+def similar(measures: DataFrame, percent: int) -> DataFrame:
+    return measures.filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
 def similar_sizes(n: str, m: str, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def mixed_only(rows: DataFrame) -> DataFrame:
+    """rows: h, label and others. Those of buckets that hold several labels."""
+    mixed = rows.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("h")
+    return rows.join(mixed, "h")
+
+
+def shareable(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rows: h, node, n, pivot and others. shared becomes the number of a node's shingles that any other of these nodes or their pivots has: no intersection is larger. Nodes of which that leaves no similarity go."""
+    nodes = rows.select("node").unionByName(rows.select(F.col("pivot").alias("node")).filter("node IS NOT NULL")).distinct()
+    shingles = sets.join(nodes, "node").select("node", F.explode("shingles").alias("s"))
+    alone = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    rows = rows.drop("shared").join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    return rows.filter(100 * F.col("shared") >= percent * F.col("n"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept, n_links (confirmed star links of its class)."""
     docs = id_and_text(docs, id_col, text_col)
@@ -164,12 +186,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
     classes = written(full.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n")), "classes")
 
     banded = full.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("h"))
-    shared = banded.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("centre")).filter("c > 1").drop("c")
-    buckets = written(banded.join(shared, "h"), "buckets")
+    shared = banded.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    found = written(banded.join(shared, "h"), "buckets")
+    # The texts that copies were made from sit in the largest buckets of all bands: they make the best centres.
+    known = found.groupBy("node").agg(F.sum("c").alias("known"))
+    buckets = written(found.select("h", "node", "n").join(known, "node"), "known-buckets")
+    centre = buckets.groupBy("h").agg(F.max(F.struct("known", (-F.col("node")).alias("a"), F.col("n").alias("m"))).alias("centre"))
 
-    # First round: for each node the centre that most of its buckets have.
-    star = buckets.filter(F.col("node") != F.col("centre.node")).filter(similar_sizes("n", "centre.n", percent))
-    star = star.groupBy(F.col("node").alias("b"), F.col("centre.node").alias("a")).agg(F.count(F.lit(1)).alias("c")).groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
+    # First round: each node against the best-known centre of its buckets.
+    star = buckets.join(centre, "h").filter((F.col("node") != -F.col("centre.a")) & similar_sizes("n", "centre.m", percent))
+    star = star.groupBy(F.col("node").alias("b")).agg(F.max("centre").alias("m")).select((-F.col("m.a")).alias("a"), "b")
 
     # Sets of the nodes that share a bucket, from their texts: found by doc_id, told apart by digest.
     wanted = written(buckets.select("node").distinct().join(classes, "node").select("node", "digest", F.col("least_id").alias("doc_id")), "wanted")
@@ -177,23 +203,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
     sets = shingle_sets(texts, size).join(wanted.select("digest", "node"), "digest").dropDuplicates(["digest"])
     sets = written(sets.select("node", "shingles"), "sets")
 
-    links = written(confirmed(star, sets, percent), "links")
-    left, centres = buckets.select("h", "node", "n"), 1
+    first_round = written(measured(star, sets), "first-round")
+    links = similar(first_round, percent)
+    pivots = first_round.select(F.col("b").alias("node"), F.col("a").alias("pivot"), F.col("both").cast("long").alias("inside"))
+    places = buckets.groupBy("node").agg(F.collect_set("h").alias("places"))  # as many as bands at most
+    left, centres, turn = buckets.withColumn("shared", F.col("n")).join(pivots, "node", "left"), 1, 0
     while True:
-        labels = components(links)
-        left = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = left.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("h")
-        left = left.join(mixed, "h")
-        size_of = left.groupBy("h", "label").agg(F.count(F.lit(1)).alias("of_label"))
-        ranked = left.join(size_of, ["h", "label"]).withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("of_label", "node")))
-        ranked = written(ranked.select("h", "node", "n", "label", "rank"), "mixed")
-        if ranked.isEmpty():
+        left = left.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        left = written(mixed_only(left), "mixed")
+        if turn >= KNOWN_TURNS and not left.isEmpty():
+            left = written(mixed_only(shareable(left, sets, percent)).join(places, "node"), "shareable")
+        if left.isEmpty():
             break
-        first = ranked.filter(F.col("rank") <= centres).select("h", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("rank").alias("r"))
-        tried = ranked.join(first, "h").filter((F.col("rank") > F.col("r")) & (F.col("label") != F.col("other"))).filter(similar_sizes("n", "m", percent))
-        new = written(confirmed(tried.select("a", F.col("node").alias("b")).distinct(), sets, percent), "links")
-        links = links.unionByName(new)
-        left, centres = ranked.filter(F.col("rank") > centres).select("h", "node", "n"), 2 * centres
+        if turn < KNOWN_TURNS:
+            ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("known"), "node")))
+        else:  # those of the smallest components first, more each time
+            centres *= GROW
+            ranked = left.withColumn("of_label", F.count(F.lit(1)).over(Window.partitionBy("h", "label"))).withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("of_label", "node")))
+        carried = ["h", "node", "n", "known", "shared", "pivot", "inside"]
+        ranked = written(ranked.select(*carried, "label", "rank", *["places"][: turn >= KNOWN_TURNS]), "ranked")
+        first = ranked.filter(F.col("rank") <= centres).select(F.col("h").alias("at"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("shared").alias("of_a"), F.col("pivot").alias("pivot_a"), F.col("inside").alias("inside_a"), F.col("label").alias("other"), F.col("rank").alias("r"), *[F.col(c).alias("places_a") for c in ranked.columns if c == "places"])
+        # Of an intersection, a part is in the pivot of both and a part is not.
+        parts = F.least("inside", "inside_a") + F.least(F.col("shared") - F.col("inside"), F.col("of_a") - F.col("inside_a"))
+        most = F.when(F.col("pivot") == F.col("pivot_a"), parts).otherwise(F.least("shared", "of_a"))
+        # A pair is tried in the first of the buckets that both have.
+        once = F.array_min(F.array_intersect("places", "places_a")) == F.col("h") if turn >= KNOWN_TURNS else F.lit(True)
+        tried = ranked.join(first, (F.col("h") == F.col("at")) & (F.col("rank") > F.col("r")) & (F.col("label") != F.col("other")) & (100 * most >= percent * (F.col("n") + F.col("m") - most)) & once)
+        links = links.unionByName(written(similar(measured(tried.select("a", F.col("node").alias("b")).distinct(), sets), percent), "links"))
+        left, turn = ranked.filter(F.col("rank") > centres).select(carried), turn + 1
 
     label = classes.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = label.groupBy("label").agg(F.min("least_id").alias("component_id"))
@@ -204,5 +241,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def keep_one(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
+    """The documents without those that a smaller doc_id of their component stands for, with all columns. Rows of one doc_id share its fate; rows without one stay."""
+    gone = written(near_duplicates(docs, size, percent).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)
