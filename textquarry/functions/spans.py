@@ -47,9 +47,8 @@ def count_literal(text: Column, needle: str) -> Column:
 
 def replace_where(text: Column, pattern: str, mark: str, valid) -> Column:
     """Matches for which valid(match) holds become mark, others stay."""
-    hits = matches(text, pattern)
-    parts = F.transform(gaps(text, pattern), lambda g, i: F.concat(g, F.coalesce(F.get(F.transform(hits, lambda h: F.when(valid(h), F.lit(mark)).otherwise(h)), i), F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
+    marked = F.transform(matches(text, pattern), lambda h: F.when(valid(h), F.lit(mark)).otherwise(h))
+    return F.when(text.rlike(pattern), F.array_join(F.zip_with(gaps(text, pattern), marked, lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")).otherwise(text)
 
 
 def excerpt(line: Column, start: Column, end: Column, width: int = EXCERPT) -> Column:

@@ -28,8 +28,7 @@ def inject(text: Column, mapping: dict[str, str]) -> Column:
     """Literal, case-sensitive replacement key by key, outside of reserved tokens as they stand at each key; later keys may match in what earlier ones made."""
 
     def one(acc: Column, key: str) -> Column:
-        tokens = spans.matches(acc, RESERVED)
-        outside = F.transform(spans.gaps(acc, RESERVED), lambda g, i: F.concat(F.replace(g, F.lit(key), F.lit(mapping[key])), F.coalesce(F.get(tokens, i), F.lit(""))))
+        outside = F.zip_with(spans.gaps(acc, RESERVED), spans.matches(acc, RESERVED), lambda g, t: F.concat(F.replace(g, F.lit(key), F.lit(mapping[key])), F.coalesce(t, F.lit(""))))
         return F.when(F.contains(acc, F.lit(key)), F.array_join(outside, "")).otherwise(acc)
 
     return reduce(one, [k for k in key_order(mapping) if k], text)
