@@ -224,11 +224,22 @@ def train(docs: DataFrame, training: Column, vocabulary: Vocabulary, stride: int
     return model.load(np.array([r["value"] for r in sorted(rows)])) if rows else model
 
 
+def frequent(counts: DataFrame) -> pa.Table:
+    """word, c of the most frequent words, at most TOP, by falling count. A histogram of steps of the count (each count up to 1000, then 64 steps an octave) gives the least step that fits; so no task sorts the vocabulary."""
+    short = counts.filter(F.octet_length("word") <= TOP_BYTES).withColumn("step", F.when(F.col("c") <= 1000, F.col("c")).otherwise(F.floor(F.log2("c") * 64).cast("long") + 1000))
+    room, least = TOP, 1 << 62
+    for r in sorted(short.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"]):
+        if r["n"] > room:
+            break
+        room, least = room - r["n"], r["step"]
+    return short.filter(F.col("step") >= least).select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+
+
 def fit(docs: DataFrame, training: Column) -> tuple[Vocabulary, Model, DataFrame]:
     """docs: doc_id, text. The vocabulary, the model and the written table of all counts."""
     counts = written(count_words(docs.filter(training)), "counts")
     tails = {r["tail"]: [int(r["c"]), int(r["v"])] for r in counts.groupBy("tail").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()}
-    top = counts.filter(F.octet_length("word") <= TOP_BYTES).orderBy(F.desc("c"), "word").limit(TOP).select("word", "c").toArrow()
+    top = frequent(counts)
     vocabulary = Vocabulary(top.column("word").to_pylist(), top.column("c").to_pylist(), [tails.get(k, [0, 0]) for k in range(TAILS)], docs.filter(training).count())
     return vocabulary, train(docs, training, vocabulary), counts
 
