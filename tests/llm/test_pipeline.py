@@ -1,5 +1,6 @@
 """Each stage of the pipeline against what it has to do, on the smallest tables and planted rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -31,3 +32,15 @@ def test_decisions(spark, sf):
     assert near.columns == docs.columns and sorted(r.doc_id for r in near.collect()) == [10_002, 10_004, 10_005]
     redacted = {r.doc_id: r for r in pii.redact_documents(near, pii.fit(docs)).collect()}
     assert redacted[10_004].text == "mail me at [EMAIL] or [IP]" and redacted[10_004].n_chars == 26 and redacted[10_005].text is None
+
+
+def test_release(spark, sf):
+    from textquarry.llm import common
+
+    df = common.written(spark.range(3), "three")
+    assert df.count() == 3
+    path = common._scratch[-1]
+    common.release(spark)
+    assert not common._scratch
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

@@ -33,10 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths of the tables that this process has written.
+_scratch: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that written() has made in this process; results that read them can't be read any more."""
+    while _scratch:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/textquarry/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
