@@ -15,39 +15,110 @@ repeated rows are packed each on their own; an empty table gives no pieces.
 from __future__ import annotations
 
 import os
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import id_and_text, map_batches, table
+from textquarry.llm.common import id_and_text, kept, map_batches, table
 
 END_ID = 2
 LONGEST = 4096
-#: Words in a worker's cache, and the longest word (bytes) that is kept there.
-CACHE_WORDS, CACHE_WORD_BYTES = 300_000, 64
+#: Words of a generation in a worker's cache, and the longest word (bytes) that is kept there.
+CACHE_WORDS, CACHE_WORD_BYTES = 500_000, 64
 
 
-def word_bytes_encoder(vocabulary: str):
-    """list of words (bytes) -> list of their ids as little-endian unsigned 32-bit bytes, through a bounded cache."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import numpy as np
-    from tokenizers import Tokenizer
+class WordIds:
+    """Ids of words as little-endian unsigned 32-bit bytes. Words that were not seen lately are encoded together; two generations of CACHE_WORDS bound the memory.
 
-    tokenizer, cache = Tokenizer.from_file(vocabulary), {}
-
-    def encode(words: list[bytes]) -> list[bytes]:
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        missing = [w for w in set(words) if w not in cache]
-        new = dict(zip(missing, (np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)), strict=True)) if missing else {}
-        cache.update((w, ids) for w, ids in new.items() if len(w) <= CACHE_WORD_BYTES)
-        if all(len(w) <= CACHE_WORD_BYTES for w in missing):
-            return list(map(cache.__getitem__, words))
-        return [ids if (ids := cache.get(w)) is not None else new[w] for w in words]
+    The vocabulary parts letters from other characters. So words of letters alone are encoded as one text with a
+    mark between them, whose id no letter has, and a word with one stop at its end is the word and the stop.
+    """
 
-    return encode
+    MARK, STOPS, TOGETHER = "!", ".,;:?", 512
+
+    def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.now, self.old = Tokenizer.from_file(vocabulary), {}, {}
+        self.mark = self.each([self.MARK])[0]
+        self.stop = dict(zip(self.STOPS.encode(), self.each(list(self.STOPS)), strict=True))
+
+    def each(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def together(self, words: list[str]) -> list[bytes]:
+        """Of words of letters alone."""
+        if len(self.mark) != 4:
+            return self.each(words)
+        out = []
+        for i in range(0, len(words), self.TOGETHER):
+            text = f" {self.MARK} ".join(words[i : i + self.TOGETHER])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = (4 * np.flatnonzero(ids == int.from_bytes(self.mark, "little"))).tolist()
+            data = ids.tobytes()
+            out += [data[x:y] for x, y in zip([0, *(k + 4 for k in at)], [*at, len(data)], strict=True)]
+        return out
+
+    def add(self, words: list[bytes]) -> None:
+        """Puts words that are in neither generation into the new one."""
+        now, old, letters, rest, ended = self.now, self.old, set(), [], []
+        for w in words:
+            text = w.decode()
+            if text.lower().isalpha():
+                letters.add(w)
+            elif w[-1] in self.stop and text[:-1].lower().isalpha():
+                ended.append(w)
+            else:
+                rest.append(w)
+        for w in ended:
+            stem = w[:-1]
+            if stem not in now:
+                if stem in old:
+                    now[stem] = old[stem]
+                else:
+                    letters.add(stem)
+        new = list(letters)
+        if new:
+            now.update(zip(new, self.together([w.decode() for w in new]), strict=True))
+        if rest:
+            now.update(zip(rest, self.each([w.decode() for w in rest]), strict=True))
+        for w in ended:
+            now[w] = now[w[:-1]] + self.stop[w[-1]]
+
+    @staticmethod
+    def words(text: str) -> list[bytes]:
+        """A text's words. ASCII capitals are lowered as the vocabulary lowers them, unless a special string might arise from that."""
+        data = text.encode()
+        return data.split() if b"<|" in data else data.lower().split()
+
+    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Of each list of words, the ids one after another."""
+        if len(self.now) > CACHE_WORDS:
+            self.now, self.old = {}, self.now
+        now, old = self.now, self.old
+        found, open_, missing = [], [], set()
+        for words in texts:
+            ids = list(map(now.get, words))
+            if None in ids:
+                gaps = [k for k, x in enumerate(ids) if x is None]
+                missing.update([words[k] for k in gaps])
+                open_.append((words, ids, gaps))
+            found.append(ids)
+        new = [w for w in missing if w not in old]
+        now.update((w, old[w]) for w in missing.difference(new))
+        self.add(new)
+        for words, ids, gaps in open_:
+            for k in gaps:
+                ids[k] = now[words[k]]
+        for w in new:
+            if len(w) > CACHE_WORD_BYTES:
+                now.pop(w, None)
+        return [b"".join(ids) for ids in found]
 
 
 def cuts(n: int, longest: int = LONGEST) -> list[int]:
@@ -62,13 +133,13 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, longest: int =
     """
 
     def setup():
-        encode, end, part = word_bytes_encoder(vocabulary), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
+        words, end, part = kept(("words", vocabulary), lambda: WordIds(vocabulary)), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
         used: dict[int, int] = {}
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[list] = [[] for _ in range(7)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = b"".join(encode(text.encode().split())) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(list(map(words.words, batch.column(1).to_pylist()))), strict=True):
+                ids += end
                 n, start = len(ids) // 4, 0
                 for length in cuts(n, longest):
                     bucket = length.bit_length() - 1
