@@ -1,6 +1,7 @@
 """Token counts of whole texts, huge documents by overlap resynchronisation.
 
-A document of at most CHUNK characters is encoded whole. A longer one is encoded in overlapping chunks with
+A document of at most CHUNK characters is encoded whole, its words through a bounded cache (no token spans
+white space). A longer one is encoded in overlapping chunks with
 offsets. Two neighbours are spliced at a position in their overlap where both begin a token and that
 follows white space: this vocabulary drops white space and no token, pair of characters to be composed or
 special string spans it, so the two encodings go on alike from there; the tokens of both that follow in the
@@ -12,14 +13,14 @@ Defined cases: a null or empty text has 0 tokens and 0 bytes; repeated rows are
 
 from __future__ import annotations
 
-import os
 from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import id_and_text, map_batches, table
+from textquarry.llm.common import id_and_text, kept, map_batches, table
+from textquarry.llm.packing import WordIds
 
 CHUNK, OVERLAP, LIMIT = 16_384, 512, 2048
 #: White space that the vocabulary's own patterns drop.
@@ -74,10 +75,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT, chunk: in
     """doc_id, n_bytes, n_tokens, over_limit, one row per document."""
 
     def setup():
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary)
+        words = kept(("words", vocabulary), lambda: WordIds(vocabulary))
+        tokenizer = words.tokenizer
 
         def whole(text: str):
             e = tokenizer.encode(text, add_special_tokens=False)
@@ -85,9 +84,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT, chunk: in
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(1).to_pylist()
-            short = [t for t in texts if len(t) <= chunk]
-            counts = iter([len(e.ids) for e in tokenizer.encode_batch_fast(short, add_special_tokens=False)])
-            n = [next(counts) if len(t) <= chunk else count_tokens(t, whole, chunk, overlap) for t in texts]
+            counts = iter(words.encode([words.words(t) for t in texts if len(t) <= chunk]))
+            n = [len(next(counts)) // 4 if len(t) <= chunk else count_tokens(t, whole, chunk, overlap) for t in texts]
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, type=pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
         return step
