@@ -208,8 +208,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
     pivots = first_round.select(F.col("b").alias("node"), F.col("a").alias("pivot"), F.col("both").cast("long").alias("inside"))
     places = buckets.groupBy("node").agg(F.collect_set("h").alias("places"))  # as many as bands at most
     left, centres, turn = buckets.withColumn("shared", F.col("n")).join(pivots, "node", "left"), 1, 0
+    labels = components(links)
     while True:
-        left = left.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        left = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         left = written(mixed_only(left), "mixed")
         if turn >= KNOWN_TURNS and not left.isEmpty():
             left = written(mixed_only(shareable(left, sets, percent)).join(places, "node"), "shareable")
@@ -229,10 +230,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
         # A pair is tried in the first of the buckets that both have.
         once = F.array_min(F.array_intersect("places", "places_a")) == F.col("h") if turn >= KNOWN_TURNS else F.lit(True)
         tried = ranked.join(first, (F.col("h") == F.col("at")) & (F.col("rank") > F.col("r")) & (F.col("label") != F.col("other")) & (100 * most >= percent * (F.col("n") + F.col("m") - most)) & once)
-        links = links.unionByName(written(similar(measured(tried.select("a", F.col("node").alias("b")).distinct(), sets), percent), "links"))
+        new = written(similar(measured(tried.select("a", F.col("node").alias("b")).distinct(), sets), percent), "links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = components(links)
         left, turn = ranked.filter(F.col("rank") > centres).select(carried), turn + 1
 
-    label = classes.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    label = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = label.groupBy("label").agg(F.min("least_id").alias("component_id"))
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = written(label.join(least, "label").join(degree, "node", "left").select("digest", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "known")
