@@ -34,8 +34,9 @@ CACHE_WORDS, CACHE_WORD_BYTES = 500_000, 64
 class WordIds:
     """Ids of words as little-endian unsigned 32-bit bytes. Words that were not seen lately are encoded together; two generations of CACHE_WORDS bound the memory.
 
-    The vocabulary parts letters from other characters. So words of letters alone are encoded as one text with a
-    mark between them, whose id no letter has, and a word with one stop at its end is the word and the stop.
+    New words are encoded as one text with a mark between them, whose id only words with an exclamation mark
+    can have; those are encoded each. The vocabulary parts letters from other characters, so letters with one
+    stop at their end are the letters' ids and the stop's.
     """
 
     MARK, STOPS, TOGETHER = "!", ".,;:?", 512
@@ -52,7 +53,7 @@ class WordIds:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def together(self, words: list[str]) -> list[bytes]:
-        """Of words of letters alone."""
+        """Of words without the mark."""
         if len(self.mark) != 4:
             return self.each(words)
         out = []
@@ -66,34 +67,29 @@ class WordIds:
 
     def add(self, words: list[bytes]) -> None:
         """Puts words that are in neither generation into the new one."""
-        now, old, letters, rest, ended = self.now, self.old, set(), [], []
-        for w in words:
-            text = w.decode()
-            if text.lower().isalpha():
-                letters.add(w)
-            elif w[-1] in self.stop and text[:-1].lower().isalpha():
-                ended.append(w)
-            else:
-                rest.append(w)
+        now, old, stop = self.now, self.old, self.stop
+        ended = [w for w in words if w[-1] in stop and w[:-1].decode().lower().isalpha()]
+        rest = set(words).difference(ended)
+        marked = [w for w in rest if b"!" in w]
+        rest.difference_update(marked)
         for w in ended:
             stem = w[:-1]
             if stem not in now:
                 if stem in old:
                     now[stem] = old[stem]
                 else:
-                    letters.add(stem)
-        new = list(letters)
+                    rest.add(stem)
+        new = list(rest)
         if new:
             now.update(zip(new, self.together([w.decode() for w in new]), strict=True))
-        if rest:
-            now.update(zip(rest, self.each([w.decode() for w in rest]), strict=True))
+        if marked:
+            now.update(zip(marked, self.each([w.decode() for w in marked]), strict=True))
         for w in ended:
             now[w] = now[w[:-1]] + self.stop[w[-1]]
 
     @staticmethod
-    def words(text: str) -> list[bytes]:
-        """A text's words. ASCII capitals are lowered as the vocabulary lowers them, unless a special string might arise from that."""
-        data = text.encode()
+    def words(data: bytes) -> list[bytes]:
+        """The words of a text in UTF-8. ASCII capitals are lowered as the vocabulary lowers them, unless a special string might arise from that."""
         return data.split() if b"<|" in data else data.lower().split()
 
     def encode(self, texts: list[list[bytes]]) -> list[bytes]:
@@ -152,7 +148,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = END_ID, longest: int =
 
         return step
 
-    packed = map_batches(id_and_text(docs, id_col, text_col), setup, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, bucket int")
+    texts = id_and_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary"))
+    packed = map_batches(texts, setup, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, bucket int")
     return packed.withColumn("offset", F.lit(0).cast("long"))
 
 
