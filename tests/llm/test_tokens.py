@@ -30,7 +30,7 @@ def test_word_cache_equals_the_library(tokenizer):
     words = packing.WordIds(WORDS)
     for seed in range(3):
         some = texts(seed)
-        assert words.encode([words.words(t) for t in some]) == [array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in some]
+        assert words.encode([words.words(t.encode()) for t in some]) == [array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in some]
 
 
 def test_cuts_are_powers_of_two():

@@ -84,7 +84,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT, chunk: in
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(1).to_pylist()
-            counts = iter(words.encode([words.words(t) for t in texts if len(t) <= chunk]))
+            counts = iter(words.encode([words.words(t.encode()) for t in texts if len(t) <= chunk]))
             n = [len(next(counts)) // 4 if len(t) <= chunk else count_tokens(t, whole, chunk, overlap) for t in texts]
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, type=pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
