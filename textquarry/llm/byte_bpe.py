@@ -37,6 +37,11 @@ def ranks_and_tokens(path: str) -> tuple[dict[bytes, int], list[bytes]]:
     return ranks, tokens
 
 
+def tokens_and_cache(path: str) -> tuple[list[bytes], Recent]:
+    ranks, tokens = ranks_and_tokens(path)
+    return tokens, Recent(lambda piece: tuple(encode_piece(piece.encode(), ranks)), CACHE_PIECES, CACHE_PIECE_CHARS)
+
+
 def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece: the pair of lowest rank is merged first, the leftmost of equals."""
     whole = ranks.get(piece)
@@ -99,8 +104,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         import regex
 
         find = regex.compile(pattern).findall
-        ranks, tokens = kept(("ranks", ranks_path), lambda: ranks_and_tokens(ranks_path))
-        ids_of = kept(("pieces", ranks_path), lambda: Recent(lambda piece: tuple(encode_piece(piece.encode(), ranks)), CACHE_PIECES, CACHE_PIECE_CHARS)).__getitem__
+        tokens, pieces = kept(("pieces", ranks_path), lambda: tokens_and_cache(ranks_path))
+        ids_of = pieces.__getitem__
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             flat, counts, decoded = [], [], []
@@ -122,7 +127,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """encoded's doc_id and the bytes of its ids (null: none), in the column decoded."""
 
     def setup():
-        tokens = kept(("ranks", ranks_path), lambda: ranks_and_tokens(ranks_path))[1]
+        tokens = ranks_and_tokens(ranks_path)[1]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"".join(map(tokens.__getitem__, ids or ())) for ids in batch.column(1).to_pylist()], type=pa.binary())], names=["doc_id", "decoded"])

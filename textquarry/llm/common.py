@@ -130,7 +130,8 @@ _kept: dict = {}
 
 
 def kept(key, make):
-    """make() once in a process: what a Python worker keeps from task to task."""
+    """make() once in a process: what a Python worker keeps from task to task. Only what was asked for last is kept, so that operators which follow each other don't add up."""
     if key not in _kept:
+        _kept.clear()
         _kept[key] = make()
     return _kept[key]

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from array import array
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import Recent, crc_mod, id_and_text, map_batches, table
+from textquarry.llm.common import Recent, crc_mod, id_and_text, kept, map_batches, table
 
 #: Bounds of the training sample: documents of each label, characters of one.
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1200, 2400, 50_000
@@ -35,7 +36,7 @@ THRESHOLD = 0.7
 #: One feature in ten thousand passes by chance.
 CHI2 = 15.14
 SENTENCE = re.compile(r"[^.!?\n]+")
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+CACHE_WORDS, CACHE_CHARS = 120_000, 64
 EDGES = "\"'()[]{}<>,;:*_|#-+=~`/\\"
 
 
@@ -52,21 +53,16 @@ def hashed(gram: str) -> int:
 
 
 class Model:
-    """A bias and the weights of the telling n-grams; scorer() is kept by the process that uses it."""
+    """A bias and the weights of the telling n-grams."""
 
     def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
-
-    def __getstate__(self):
-        return self.weights, self.bias
-
-    def __setstate__(self, state):
-        self.weights, self.bias = state
+        self.weights, self.bias, self.name = weights, bias, uuid.uuid4().hex
 
     def scorer(self):
-        """text -> (score, [(begin, end, sentence score)]); words' weights are kept in a bounded cache."""
-        if hasattr(self, "kept"):
-            return self.kept
+        """text -> (score, [(begin, end, sentence score)]); the process keeps it from task to task, with the weights of words in a bounded cache."""
+        return kept(("toxicity", self.name), self.make_scorer)
+
+    def make_scorer(self):
         weights, bias = self.weights, self.bias
 
         def weight_of(word: str) -> float:
@@ -83,7 +79,6 @@ class Model:
                     found.append((m.start(), m.end(), 1 / (1 + math.exp(-min(z, 700.0)))))
             return -math.expm1(-total), found
 
-        self.kept = score
         return score
 
 
