@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import text
 from textquarry.operators import evidence
+from textquarry.plans import queries
 from textquarry.sources import files
 
 
@@ -27,6 +28,14 @@ def test_text_helpers(spark):
     assert list(got) == ["hello-world", "Hello, World!", [42, 43, 44], [7], "2024-01-02T03:04:05Z", text.NO_TIME, "a\nb\n\nc\n", ["a", "b"]]
 
 
+def test_text_functions_of_whole_texts(spark, tmp_path):
+    body = " a ,b\n\n" * 100 + ", last tag "
+    spark.createDataFrame([(1, body)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    row = queries.text_functions_whole(spark, str(tmp_path)).first()
+    assert row.tags == "|".join(["a"] + [x.strip() for x in body.split(",")[1:]])
+    assert row.tags.endswith("last tag") and row.collapsed == " ".join(body.split()) and len(row.collapsed) > 300
+
+
 def test_path_decisions(spark, tmp_path):
     df = spark.createDataFrame([("/d/a.txt",), ("/d/../x",), ("/d/k.pem",), ("/e/a",), ("/d/.git/config",), ("/d/.env.local",)], "p string")
     got = [tuple(r[0]) for r in df.select(files.path_decision(F.col("p"), ["/d"])).collect()]

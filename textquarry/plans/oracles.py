@@ -239,6 +239,8 @@ def oracle_sql() -> dict[str, str]:
         "last_events": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 20",
         "text_functions": r"""SELECT doc_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50) AS slug, CASE WHEN length(text) > 120 THEN substr(text, 1, 117) || '...' ELSE text END AS short, substr(sha256(text), 1, 16) AS path_hash,
  array_to_string(list_filter(list_transform(string_split(substr(text, 1, 200), ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '|') AS tags, regexp_replace(regexp_replace(substr(text, 1, 300), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS collapsed, CASE WHEN text LIKE '%' || chr(10) THEN len(string_split(text, chr(10))) - 1 ELSE len(string_split(text, chr(10))) END AS n_lines, 4::BIGINT AS n_range FROM documents""",
+        "text_functions_whole": r"""SELECT doc_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50) AS slug, CASE WHEN length(text) > 120 THEN substr(text, 1, 117) || '...' ELSE text END AS short, substr(sha256(text), 1, 16) AS path_hash,
+ array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '|') AS tags, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS collapsed, CASE WHEN text LIKE '%' || chr(10) THEN len(string_split(text, chr(10))) - 1 ELSE len(string_split(text, chr(10))) END AS n_lines, 4::BIGINT AS n_range FROM documents""",
         "extract_normalize": r"""SELECT doc_id, CASE WHEN t = '' THEN '' ELSE t || chr(10) END AS normalized FROM (SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(replace(replace(text, '. ', '. ' || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10) || ' '), chr(13) || chr(10), chr(10)), chr(10)), lambda x: rtrim(x)), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents)""",
         "document_lints": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'no description' WHEN 2 THEN 'front matter isn''t closed' WHEN 3 THEN 'no name' ELSE 'no front matter' END AS errors FROM documents",
         "disallowed_scan": "SELECT doc_id, unnest(['password', 'password (upper)']) AS rule FROM documents WHERE regexp_matches(text, '(?i)password\\s*=')".replace("\\\\", "\\"),

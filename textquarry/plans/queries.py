@@ -309,10 +309,18 @@ def last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.last_rows(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", MANY)
 
 
-def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+def of_functions(d: DataFrame, tagged: Column, collapsed: Column) -> DataFrame:
     t = F.col("text")
-    return d.select("doc_id", text.slug(t).alias("slug"), text.truncated(t).alias("short"), text.path_hash(t).alias("path_hash"), F.array_join(text.tags(F.substring(t, 1, 200)), "|").alias("tags"), text.collapse(F.substring(t, 1, 300)).alias("collapsed"), F.size(text.universal_lines(t)).cast("long").alias("n_lines"), F.size(text.number_range(F.concat((F.col("doc_id") % 5).cast("string"), F.lit(".."), (F.col("doc_id") % 5 + 3).cast("string")))).cast("long").alias("n_range"))
+    return d.select("doc_id", text.slug(t).alias("slug"), text.truncated(t).alias("short"), text.path_hash(t).alias("path_hash"), F.array_join(text.tags(tagged), "|").alias("tags"), text.collapse(collapsed).alias("collapsed"), F.size(text.universal_lines(t)).cast("long").alias("n_lines"), F.size(text.number_range(F.concat((F.col("doc_id") % 5).cast("string"), F.lit(".."), (F.col("doc_id") % 5 + 3).cast("string")))).cast("long").alias("n_range"))
+
+
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of the first 200 code points and the first 300 collapsed, as its SQL has them; text_functions_whole has no such bounds."""
+    return of_functions(table(spark, sf_dir, "documents"), F.substring("text", 1, 200), F.substring("text", 1, 300))
+
+
+def text_functions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return of_functions(table(spark, sf_dir, "documents"), F.col("text"), F.col("text"))
 
 
 def extract_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
