@@ -36,6 +36,22 @@ def test_text_functions_of_whole_texts(spark, tmp_path):
     assert row.tags.endswith("last tag") and row.collapsed == " ".join(body.split()) and len(row.collapsed) > 300
 
 
+def test_first_difference_of_whole_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "RANGE_ROWS", 4)
+    head = "x" * 60
+    docs = [(k, None if k % 11 == 0 else f"s{k % 3 % 2}", None if k == 20 else head + "é😀"[: k % 3] + str(k % 4)) for k in range(50)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for source in {s for _, s, _ in docs}:
+        own = [d for d in docs if d[1] == source]
+        for (k, _, a), (_, _, b) in zip(own, own[1:]):
+            if b is not None:
+                want[k] = len(b) if a is None else -1 if a == b else next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert any(v >= 60 for v in want.values())
+    got = queries.first_difference_whole(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r.doc_id: r["at"] for r in got} == want
+
+
 def test_path_decisions(spark, tmp_path):
     df = spark.createDataFrame([("/d/a.txt",), ("/d/../x",), ("/d/k.pem",), ("/e/a",), ("/d/.git/config",), ("/d/.env.local",)], "p string")
     got = [tuple(r[0]) for r in df.select(files.path_decision(F.col("p"), ["/d"])).collect()]

@@ -246,4 +246,5 @@ def oracle_sql() -> dict[str, str]:
         "disallowed_scan": "SELECT doc_id, unnest(['password', 'password (upper)']) AS rule FROM documents WHERE regexp_matches(text, '(?i)password\\s*=')".replace("\\\\", "\\"),
         "json_check": "SELECT event_id, event_id % 17 <> 0 AS valid FROM events",
         "first_difference": "WITH p AS (SELECT doc_id, substr(text, 1, 50) AS a, lead(substr(text, 1, 50)) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents) SELECT doc_id, CASE WHEN a = b THEN -1 ELSE coalesce(list_position(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, i, 1) = substr(b, i, 1)), false) - 1, least(length(a), length(b))) END::BIGINT AS at FROM p WHERE b IS NOT NULL",
+        "first_difference_whole": "WITH p AS (SELECT doc_id, text AS a, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents) SELECT doc_id, CASE WHEN a = b THEN -1 ELSE coalesce(list_position(list_transform(list_zip(string_split(a, ''), string_split(b, ''), true), lambda x: x[1] = x[2]), false) - 1, least(length(a), length(b))) END::BIGINT AS at FROM p WHERE b IS NOT NULL",
     }

@@ -13,6 +13,8 @@ NEEDLES = [policy.Policy("LIT1", "Doubled the", "low", "contains", "thth", "A li
 TERMS = ["the", "License", "License, version", "GNU General Public License", "enti", "des", "und", "que"]
 MAPPING = {"the": "THE", "Licensed under": "[TERMS]", "der": "dER", "que": "QUE", "th": "tH"}
 MANY = 20
+#: Documents in a range of doc_id, and ranges at most.
+RANGE_ROWS, RANGES = 500, 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -328,11 +330,31 @@ def extract_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours' first 50 code points, as its SQL has them; first_difference_whole compares whole texts."""
     w = Window.partitionBy("source").orderBy("doc_id")
     pairs = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 50).alias("a")).withColumn("b", F.lead("a").over(w)).filter("b IS NOT NULL")
     return pairs.select("doc_id", text.first_difference(F.col("a"), F.col("b")).cast("long").alias("at"))
 
 
+def with_next(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, source, text. Each document with a next one of its source (by doc_id, then text), as a, and that one's text as b (both may be null).
+    The next comes from ranges of doc_id; the last of a range has the head of the source's next range. A source has RANGES heads at most, so no task sees a whole source."""
+    many = max(1, min(RANGES, docs.count() // RANGE_ROWS))
+    cuts = sorted(set(docs.approxQuantile("doc_id", [k / many for k in range(1, many)], 0.2 / many))) if many > 1 else []
+    below = F.size(F.filter(F.array(*[F.lit(int(c)).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    ranged = docs.select("doc_id", "source", F.struct("doc_id", "text").alias("row"), below.alias("range"))
+    heads = ranged.groupBy("source", "range").agg(F.min("row").alias("head")).withColumn("head", F.lead("head").over(Window.partitionBy("source").orderBy("range")))
+    inside = ranged.withColumn("next", F.lead("row").over(Window.partitionBy("source", "range").orderBy("row")))
+    followed = inside.filter("next IS NOT NULL").select("doc_id", "row", "next")
+    last = inside.filter("next IS NULL").alias("l").join(heads.filter("head IS NOT NULL").alias("h"), F.col("l.source").eqNullSafe(F.col("h.source")) & (F.col("l.range") == F.col("h.range"))).select("l.doc_id", "l.row", F.col("h.head").alias("next"))
+    return followed.unionByName(last).select("doc_id", F.col("row.text").alias("a"), F.col("next.text").alias("b"))
+
+
+def first_difference_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = with_next(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).filter("b IS NOT NULL")
+    return pairs.select("doc_id", text.first_difference(F.col("a"), F.col("b")).cast("long").alias("at"))
+
+
 def document_lints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lints of documents that some have a front matter put before."""
     k = F.col("doc_id") % 5
