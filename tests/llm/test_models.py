@@ -122,6 +122,24 @@ def test_language_model_is_normalised(spark, make):
     assert all(abs(x - 1) < 1e-9 for x in share.values())
 
 
+def test_language_model_trains_on_every_position(monkeypatch):
+    texts = [["a b c d e f g h i j"] * 3, ["", "b a"]]
+    counts, tails = [4, 4] + [3] * 8, np.zeros((language_model.TAILS, 2), dtype=int)
+    for w, c in zip(b"abcdefghij", counts, strict=True):
+        tails[language_model.tail_of(bytes([w]))] += c, 1
+    words = language_model.Vocabulary(list("abcdefghij"), counts, tails.tolist(), 5)
+    met, train = [], language_model.Model.train
+
+    def spied(self, before, target, *rest):
+        met.append(len(target))
+        return train(self, before, target, *rest)
+
+    monkeypatch.setattr(language_model.Model, "train", spied)
+    first = language_model.Model(words.noise)
+    own, seen = language_model.trained_on(first, words, texts, np.random.default_rng(0))
+    assert met == [33, 4] and seen == 37 and not np.array_equal(own.flat(), first.flat())
+
+
 def test_language_model_odd_rows(odd, empty):
     docs = odd.select("doc_id", "text").fillna({"text": ""})
     words, model, counts = language_model.fit(docs, F.lit(True))

@@ -7,7 +7,7 @@ over all classes of a batch of tokens give softmax log-probabilities, and a word
 (c + 1) / (N + V + 1) of that class, with one place for words that were never seen.
 
 Training starts on the driver from a bounded sample (SAMPLE_DOCS, SAMPLE_CHARS) and goes on in every task over
-STRIDE-spaced positions of all its training texts; the tasks' models are averaged by their numbers of
+all positions of all its training texts; the tasks' models are averaged by their numbers of
 positions, summed in Spark. The TOP most frequent words (each of TOP_BYTES at most) are broadcast, a bound of
 16 MB; counts of all others are joined by word.
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from textquarry.llm.common import bounded_batches, crc_mod, id_and_text, lists,
 OWN, TAILS, ORDER, WIDTH = 95, 32, 5, 16
 CLASSES, END = OWN + 1 + TAILS, OWN
 TOP, TOP_BYTES = 1 << 18, 64
-NOISE, BATCH, RATE, STRIDE = 64, 2048, 0.1, 8
+NOISE, BATCH, RATE = 64, 2048, 0.1
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_EPOCHS = 400, 50_000, 3
 #: Words that a counting task holds before it sends its counts on.
 HELD_WORDS = 300_000
@@ -110,6 +110,12 @@ class Vocabulary:
         return out
 
 
+def by_class(classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sums of rows of WIDTH values by class."""
+    places = classes[:, None] * WIDTH + np.arange(WIDTH)
+    return np.bincount(places.ravel(), rows.ravel(), CLASSES * WIDTH).reshape(CLASSES, WIDTH).astype(np.float32)
+
+
 class Model:
     def __init__(self, noise: np.ndarray | None = None, seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -132,25 +138,24 @@ class Model:
         """One pass of noise-contrastive estimation with Adagrad over rows of ORDER classes before and the target; the noise of a batch is shared. Returns the sums of squares for a next pass."""
         sums = sums or [np.full_like(x, 1e-8) for x in (self.r, self.q, self.c, self.b)]
         expected = np.log(NOISE * noise).astype(np.float32)
-        one = np.eye(CLASSES, dtype=np.float32)
         for i in range(0, len(target), BATCH):
             x, y = before[i : i + BATCH], target[i : i + BATCH]
             z = rng.choice(CLASSES, NOISE, p=noise)
             ctx = self.r[x]
-            h = (ctx * self.c).sum(axis=1)
-            data = 1 / (1 + np.exp(np.clip((h * self.q[y]).sum(axis=1) + self.b[y] - expected[y], -30, 30)))
+            h = np.einsum("bow,ow->bw", ctx, self.c)
+            of_y = self.q[y]
+            data = 1 / (1 + np.exp(np.clip(np.einsum("bw,bw->b", h, of_y) + self.b[y] - expected[y], -30, 30)))
             false = 1 / (1 + np.exp(np.clip(expected[z] - h @ self.q[z].T - self.b[z], -30, 30)))
             n = np.float32(1 / len(y))
-            of_y = one[y]
-            back = data[:, None] * self.q[y] - false @ self.q[z]
-            gq = of_y.T @ (data[:, None] * h)
+            back = data[:, None] * of_y - false @ self.q[z]
+            gq = by_class(y, data[:, None] * h)
             np.add.at(gq, z, -(false.T @ h))
-            gb = of_y.T @ data
+            gb = np.bincount(y, data, CLASSES).astype(np.float32)
             np.add.at(gb, z, -false.sum(axis=0))
             gr = np.zeros_like(self.r)
             for k in range(ORDER):
-                gr += one[x[:, k]].T @ (back * self.c[k])
-            gc = (back[:, None, :] * ctx).sum(axis=0)
+                gr += by_class(x[:, k], back) * self.c[k]
+            gc = np.einsum("bw,bow->ow", back, ctx)
             for value, g, s in zip((self.r, self.q, self.c, self.b), (gr, gq, gc, gb), sums, strict=True):
                 g *= n
                 s += g * g
@@ -192,7 +197,18 @@ def sequences(texts: list[str], vocabulary: Vocabulary):
     return words, numbers, np.array(lengths), classes, before
 
 
-def train(docs: DataFrame, training: Column, vocabulary: Vocabulary, stride: int = STRIDE) -> Model:
+def trained_on(first: Model, words: Vocabulary, batches: Iterable[list[str]], rng) -> tuple[Model, int]:
+    """A copy of first after one pass over every position of the batches' texts, and the number of positions."""
+    own, sums, seen = Model().load(first.flat()), None, 0
+    for texts in batches:
+        _, _, _, classes, before = sequences(texts, words)
+        at = rng.permutation(len(classes))
+        sums = own.train(before[at], classes[at], words.noise, rng, sums)
+        seen += len(at)
+    return own, seen
+
+
+def train(docs: DataFrame, training: Column, vocabulary: Vocabulary) -> Model:
     """docs: doc_id, text. A start on the driver, then one pass in every task over all training texts, averaged."""
     spark, model = docs.sparkSession, Model(vocabulary.noise)
     docs = docs.filter(training)
@@ -208,13 +224,8 @@ def train(docs: DataFrame, training: Column, vocabulary: Vocabulary, stride: int
     start = spark.sparkContext.broadcast((vocabulary, model))  # TOP words and some 5,000 weights at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (words, first), rng = start.value, np.random.default_rng(TaskContext.get().partitionId())
-        own, sums, seen = Model().load(first.flat()), None, 0
-        for batch in batches:
-            _, _, _, classes, before = sequences(batch.column(1).to_pylist(), words)
-            at = rng.permutation(np.arange(int(rng.integers(stride)) if len(classes) > stride else 0, len(classes), stride))
-            sums = own.train(before[at], classes[at], words.noise, rng, sums)
-            seen += len(at)
+        words, first = start.value
+        own, seen = trained_on(first, words, (b.column(1).to_pylist() for b in batches), np.random.default_rng(TaskContext.get().partitionId()))
         if seen:
             values = own.flat()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), type=pa.int32()), pa.array(values * seen), pa.array(np.full(len(values), float(seen)))], names=["k", "value", "weight"])
