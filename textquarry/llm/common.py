@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -21,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset the checkpoint folder that the session has. With neither, one of our own under a local master (tests); a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     context = spark.sparkContext._jsc.sc()
     if not folder:
         if context.getCheckpointDir().isEmpty():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textquarry-"))
         return context.getCheckpointDir().get()
     if context.getCheckpointDir().isEmpty():
@@ -37,10 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
 _scratch: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that written() has made in this process; results that read them can't be read any more."""
-    while _scratch:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+def release(spark: SparkSession, since: int = 0, but: tuple[str, ...] = ()) -> None:
+    """Deletes the tables that written() has made in this process (from number since on, without those named in but); results that read them can't be read any more."""
+    for name in [p for p in _scratch[since:] if p not in but]:
+        _scratch.remove(name)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -98,6 +102,40 @@ def map_batches(df: DataFrame, setup, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: Bits of the filter that parts rows by id: 8 MB, whatever the data.
+FILTER_BITS, BITMAP = 1 << 26, 8 * 4096
+
+
+def parted_by_id(docs: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """docs in two: rows whose doc_id is certainly not among ids (a column id), and the others. A bitmap of the ids' hashes is broadcast, bits / 8 bytes at most; so the first part needs no join and doesn't move. The more ids, the larger the second part, which callers join exactly."""
+    spot = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(bits)) + 1
+    at = ids.select(spot(F.col("id")).alias("spot")).select(F.bitmap_bucket_number("spot").alias("__bucket"), F.bitmap_bit_position("spot").alias("bit"))
+    maps = F.broadcast(at.groupBy("__bucket").agg(F.bitmap_construct_agg("bit").alias("__bits")))
+    own = spot(docs["doc_id"])
+    position = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substring(maps["__bits"], (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    inside = F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    met = docs.join(maps, F.bitmap_bucket_number(own) == maps["__bucket"], "left")
+    return met.filter(~inside).select(columns), met.filter(inside).select(columns)
+
+
+def without(docs: DataFrame, doubtful: DataFrame, keyed) -> DataFrame:
+    """docs, with all their columns, without the rows that go. doubtful: id, digest, some: keys that lose rows; where some, one row stays (the most code points, then the first), else none. keyed: rows (row, id, text) -> row, id, digest, n.
+
+    Only rows whose id may be doubtful are numbered, written and joined; the columns of docs travel in one struct, so no name of theirs can clash.
+    """
+    clear, others = parted_by_id(docs, doubtful.select("id"))
+    held = written(others.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "doubtful-rows")
+    keys = keyed(held.select("row", F.col("doc.doc_id").cast("long").alias("id"), F.coalesce(F.col("doc.text").cast("string"), F.lit("")).alias("text")))
+    d = doubtful.select(F.col("id").alias("of"), F.col("digest").alias("mark"), "some")
+    met = written(keys.join(d, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("mark"))).select("row", "id", "digest", "n", "some"), "doubtful-keys")
+    best = met.filter("some").groupBy("id", "digest").agg(F.min(F.struct((-F.col("n")).alias("n"), "row")).alias("best")).select("best.row")
+    gone = met.select("row").join(best, "row", "left_anti")
+    stay = held.join(gone, "row", "left_anti")
+    return clear.union(stay.select(*[F.col("doc")[c].alias(c) for c in docs.columns]))
+
+
 def lists(values, counts, kind: pa.DataType) -> pa.Array:
     """A list array from flat values and the length of each list."""
     import numpy as np

@@ -8,7 +8,7 @@ is appended.
 Defined cases: a null text is the empty text; a text of white space equals the empty one; of equal texts
 the row with the most code points in the original stays, then the smallest doc_id (a null doc_id after
 all others); rows that repeat both stay or go by the one that was numbered first; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; other columns, of any name and type, are ignored, and kept by keep_first().
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import table, written
+from textquarry.llm.common import table, without, written
 
 #: Deleted before texts are compared.
 WHITE = " \t\n\x0b\x0c\r"
@@ -85,27 +85,19 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str | None = None, i
 
 
 def keep_first(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
-    """The documents that stay, with all their columns. A doc_id may name several rows: its rows are told apart by digest, and of rows equal in both one stays."""
-    answers = written(deduplicate(docs, index, batch), "answers").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"), "kept")
-    by_key = answers.groupBy("__id", "__digest").agg(F.max("kept").alias("some"), F.min("kept").alias("all"))
-    gone, partly = written(by_key.filter("NOT some"), "gone"), written(by_key.filter("some AND NOT all"), "partly")
-
-    def same(keys: DataFrame) -> list[Column]:
-        return [docs["doc_id"].cast("long").eqNullSafe(keys["__id"]), normal_digest(F.coalesce(docs["text"].cast("string"), F.lit(""))) == keys["__digest"]]
-
-    stay = docs.join(gone, same(gone), "left_anti")
-    if partly.isEmpty():
-        return stay
-    row = F.struct((-F.char_length("text")).alias("__n"), *[F.col(c) for c in docs.columns])
-    once = docs.join(partly, same(partly)).groupBy("__id", "__digest").agg(F.min(row).alias("__row"))
-    return stay.join(partly, same(partly), "left_anti").unionByName(once.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
+    """The documents that stay, with all their columns. A doc_id may name several rows: its rows are told apart by digest, and of rows equal in both the one with the most code points stays, then the first."""
+    answers = deduplicate(docs, index, batch).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"), "kept")
+    by_key = answers.groupBy("id", "digest").agg(F.max("kept").alias("some"), F.min("kept").alias("every"))
+    doubtful = written(by_key.filter("NOT every").select("id", "digest", "some"), "doubtful")
+    return without(docs, doubtful, lambda rows: rows.select("row", "id", normal_digest(F.col("text")).alias("digest"), F.char_length("text").alias("n")))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    out = written(deduplicate(table(spark, sf_dir, "documents"), index), "op4")
-    index.drop()
-    return out
+    try:
+        return written(deduplicate(table(spark, sf_dir, "documents"), index), "op4")
+    finally:
+        index.drop()
 
 
 ORACLE_SQL = r"""
