@@ -55,6 +55,47 @@ def test_keep_first_keeps_columns(spark, odd):
     index.drop()
 
 
+def awkward(spark, rows):
+    """Rows of doc_id and text with a map and names that the operators use inside."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["some", "every", "all", "__id", "__n", "__bits", "__bucket", "row", "doc", "id", "digest", "n", "best", "of", "mark", "label", "a.b"]
+    return df.selectExpr("map('k', doc_id) AS m", *[f"1 AS `{c}`" for c in names], "*")
+
+
+def test_keep_first_on_awkward_columns(spark):
+    rows = [(1, "a b"), (1, "ab"), (1, "ab"), (2, None), (2, "   "), (2, ""), (3, "x y"), (3, "z"), (None, "xy"), (None, "n ull"), (None, "null"), (4, "null")]
+    index = exact_dedup.DigestIndex(spark, "awkward_index")
+    docs = awkward(spark, rows)
+    kept = exact_dedup.keep_first(docs, index)
+    assert kept.columns == docs.columns and kept.schema["m"].dataType == docs.schema["m"].dataType
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, "a b"), (2, "   "), (3, "x y"), (3, "z"), (None, "n ull")], key=str)
+    index.drop()
+
+
+def test_keep_one_on_awkward_columns(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, base), (5, base + " x"), (5, "some other text of its own"), (6, base + " y"), (None, base), (None, "nobody has this text"), (None, "nobody has this text"), (None, "nobody has this text either at all, no"), (7, ""), (8, None), (9, "again again"), (9, "again  again")]
+    docs = awkward(spark, rows)
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len([t for _, t in got if t and t.startswith("w0 ")]) == 1 and [i for i, t in got if t and t.startswith("w0 ")] == [5]
+    rest = sorted(((i, t) for i, t in got if not (t and t.startswith("w0 "))), key=str)
+    assert rest == sorted([(5, "some other text of its own"), (None, "nobody has this text"), (None, "nobody has this text either at all, no"), (7, ""), (8, None), (9, "again  again")], key=str)
+
+
+def test_rows_parted_by_id(spark):
+    from textquarry.llm.common import parted_by_id
+
+    docs, ids = spark.range(2000).selectExpr("IF(id = 1, NULL, id * 7 - 900) AS doc_id", "'x' AS text"), spark.range(300).selectExpr("IF(id = 1, NULL, id * 7 - 900) AS id")
+    clear, others = parted_by_id(docs, ids)
+    wanted = {r.id for r in ids.collect()}
+    assert not wanted & {r.doc_id for r in clear.collect()} and clear.count() + others.count() == 2000 and others.count() < 310
+    for bits in (1 << 5, 1 << 16):  # a filter that is too full sends more rows through the join, and loses none
+        clear, others = parted_by_id(docs, ids, bits)
+        assert wanted <= {r.doc_id for r in others.collect()} and clear.count() + others.count() == 2000
+
+
 def shingles(text, size):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
     return frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
@@ -113,6 +154,21 @@ def test_near_odd_rows(spark, odd, empty):
     assert near_dedup.keep_one(odd).columns == odd.columns
 
 
+def test_a_bucket_of_many_components(spark, make, monkeypatch):
+    """Texts that share a long passage, too unlike to be linked, and copies of some: every round has something to do."""
+    monkeypatch.setattr(near_dedup, "GROW", 2)
+    rng = random.Random(9)
+    common, rows = [f"c{k}" for k in range(70)], []
+    for k in range(60):
+        own = common + [f"o{k}_{j}" for j in range(20)]
+        rows.append((k, " ".join(own)))
+        if k % 6 == 0:
+            own[rng.randrange(70, 90)] = "z"
+            rows.append((1000 + k, " ".join(own)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(make(rows), size=4).collect()}
+    assert got == brute(rows, 4)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] + [(k, k + 1) for k in range(500, 560)]

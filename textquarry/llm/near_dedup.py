@@ -19,7 +19,8 @@ Shingle sets are held as 64-bit hashes of position-weighted byte sums (collision
 
 Defined cases: a null or empty text, or one of white space, has no shingles and is linked with nothing; fewer
 words than a shingle are one shingle; a null doc_id takes part, and its component's id is the smallest that
-is not null (null if there is none); repeated rows are equal texts; an empty table gives none.
+is not null (null if there is none); repeated rows are equal texts; an empty table gives none; other columns, of
+any name and type, are ignored, and kept by keep_one().
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import id_and_text, lists, map_batches, table, written
+from textquarry.llm.common import id_and_text, lists, map_batches, table, without, written
 from textquarry.llm.graph import components
 
 BANDS, ROWS, PERCENT = 32, 5, 80
 #: Rounds in which a bucket's best-known node is its centre; by how much the number of centres grows after that.
 KNOWN_TURNS, GROW = 2, 8
+#: Parts of a bucket in which its centres are looked for first.
+SALTS = 16
 #: Sets of fewer shingles can't be similar to a different set: 4 of 5 is the first 0.8.
 LEAST_SHINGLES = 4
 
@@ -179,7 +182,7 @@ def shareable(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept, n_links (confirmed star links of its class)."""
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept, n_links (confirmed star links of its class), digest (of its set, null if empty), label (a number of its component, null if empty)."""
     docs = id_and_text(docs, id_col, text_col)
     rows_of = written(features(docs, size, bands, rows).withColumn("row", F.monotonically_increasing_id()), "features")
     full = rows_of.filter("digest IS NOT NULL")
@@ -216,40 +219,66 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
             left = written(mixed_only(shareable(left, sets, percent)).join(places, "node"), "shareable")
         if left.isEmpty():
             break
+        # Nodes of a bucket go by fame at first, later those of the smallest components come first.
         if turn < KNOWN_TURNS:
-            ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("known"), "node")))
-        else:  # those of the smallest components first, more each time
+            left = left.withColumn("place", F.struct((-F.col("known")).alias("k"), "node"))
+        else:
             centres *= GROW
-            ranked = left.withColumn("of_label", F.count(F.lit(1)).over(Window.partitionBy("h", "label"))).withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("of_label", "node")))
+            sizes = left.groupBy("h", "label").agg(F.count(F.lit(1)).alias("of_label"))
+            left = left.join(sizes, ["h", "label"]).withColumn("place", F.struct(F.col("of_label").alias("k"), "node"))
         carried = ["h", "node", "n", "known", "shared", "pivot", "inside"]
-        ranked = written(ranked.select(*carried, "label", "rank", *["places"][: turn >= KNOWN_TURNS]), "ranked")
-        first = ranked.filter(F.col("rank") <= centres).select(F.col("h").alias("at"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("shared").alias("of_a"), F.col("pivot").alias("pivot_a"), F.col("inside").alias("inside_a"), F.col("label").alias("other"), F.col("rank").alias("r"), *[F.col(c).alias("places_a") for c in ranked.columns if c == "places"])
+        ordered = written(left.select(*carried, "label", "place", *["places"][: turn >= KNOWN_TURNS]), "ordered")
+        # The centres: a limit of so many a bucket, which Spark applies inside each task before it moves anything; first in SALTS parts of each bucket, so that no task gets those of all tasks of a hot one.
+        first = ordered
+        for parts in (["h", F.pmod(F.xxhash64("node"), F.lit(SALTS))], ["h"]):
+            first = first.withColumn("rank", F.row_number().over(Window.partitionBy(*parts).orderBy("place"))).filter(F.col("rank") <= centres)
+        first = written(first.select(F.col("h").alias("at"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("shared").alias("of_a"), F.col("pivot").alias("pivot_a"), F.col("inside").alias("inside_a"), F.col("label").alias("other"), F.col("place").alias("place_a"), *[F.col(c).alias("places_a") for c in ordered.columns if c == "places"]), "centres")
         # Of an intersection, a part is in the pivot of both and a part is not.
         parts = F.least("inside", "inside_a") + F.least(F.col("shared") - F.col("inside"), F.col("of_a") - F.col("inside_a"))
         most = F.when(F.col("pivot") == F.col("pivot_a"), parts).otherwise(F.least("shared", "of_a"))
         # A pair is tried in the first of the buckets that both have.
         once = F.array_min(F.array_intersect("places", "places_a")) == F.col("h") if turn >= KNOWN_TURNS else F.lit(True)
-        tried = ranked.join(first, (F.col("h") == F.col("at")) & (F.col("rank") > F.col("r")) & (F.col("label") != F.col("other")) & (100 * most >= percent * (F.col("n") + F.col("m") - most)) & once)
+        tried = ordered.join(first, (F.col("h") == F.col("at")) & (F.col("place") > F.col("place_a")) & (F.col("label") != F.col("other")) & (100 * most >= percent * (F.col("n") + F.col("m") - most)) & once)
         new = written(similar(measured(tried.select("a", F.col("node").alias("b")).distinct(), sets), percent), "links")
         if not new.isEmpty():
             links = links.unionByName(new)
             labels = components(links)
-        left, turn = ranked.filter(F.col("rank") > centres).select(carried), turn + 1
+        left, turn = ordered.join(first.select(F.col("at").alias("h"), F.col("a").alias("node")), ["h", "node"], "left_anti").select(carried), turn + 1
 
     label = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = label.groupBy("label").agg(F.min("least_id").alias("component_id"))
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = written(label.join(least, "label").join(degree, "node", "left").select("digest", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "known")
+    known = written(label.join(least, "label").join(degree, "node", "left").select("digest", "label", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "known")
     out = rows_of.select("doc_id", "n_shingles", "digest").join(known, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "digest", "label")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The documents without those that a smaller doc_id of their component stands for, with all columns. Rows of one doc_id share its fate; rows without one stay."""
-    gone = written(near_duplicates(docs, size, percent).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """One document of each component, with all its columns: that of the smallest doc_id (a null one comes last). Of several rows of that id the text whose set has the smallest digest stays, of rows equal in both that with the most code points, then the first. Texts without shingles stay all."""
+    rows = written(near_duplicates(docs, size, percent).filter("digest IS NOT NULL").select(F.col("doc_id").alias("id"), "digest", "label"), "labelled")
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")).alias("first"))
+    keys = rows.groupBy("id", "digest", "label").agg(F.count(F.lit(1)).alias("times")).join(first, "label")
+    some = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))
+    doubtful = written(keys.select("id", "digest", some.alias("some"), "times").filter("NOT some OR times > 1").drop("times"), "doubtful")
+    return without(docs, doubtful, lambda found: set_digests(found, size))
+
+
+def set_digests(rows: DataFrame, size: int) -> DataFrame:
+    """rows: row, id, text. row, id, digest of the text's set (null if empty), n (code points)."""
+
+    def setup():
+        shingler = Shingler(size)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column(2).to_pylist()
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s := shingler.set(t.encode())) else None for t in texts]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, type=pa.binary()), pa.array(list(map(len, texts)), type=pa.int64())], names=["row", "id", "digest", "n"])
+
+        return step
+
+    return map_batches(rows, setup, "row long, id long, digest binary, n long")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4).drop("digest", "label")
