@@ -177,6 +177,57 @@ def test_offending_sentences_are_found():
     assert score("") == (0.0, [])
 
 
+def plain_toxicity(model, text):
+    """The noisy-or of the strongest five of the sentences that differ, gram by gram."""
+    zs = {}
+    for sentence in re.split(r"[.!?\n]", text):
+        if words := sentence.split():
+            zs[" ".join(words)] = model.bias + sum(model.weights.get(g, 0.0) for w in words for g in toxicity.grams(w))
+    clean = 1.0
+    for z in sorted(zs.values())[-5:]:
+        clean *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - clean
+
+
+@pytest.fixture(scope="module")
+def toxicity_model(spark):
+    sf = "/root/testdata/sf0.01"
+    return toxicity.fit(table(spark, sf, "documents"), table(spark, sf, "labels"), crc_mod(F.col("doc_id"), 3) != 1)
+
+
+def test_toxicity_scores_equal_a_plain_loop(spark, sf, toxicity_model):
+    score = toxicity_model.scorer()
+    for r in table(spark, sf, "documents").collect():
+        assert abs(score(r.text or "")[0] - plain_toxicity(toxicity_model, r.text or "")) < 1e-9
+
+
+def test_long_clean_texts_stay_clean(spark, toxicity_model):
+    score = toxicity_model.scorer()
+    assert score("We walked along the river and had a quiet lunch by the bridge. " * 5000)[0] < 0.1
+    labels = {r.doc_id: r.toxic for r in table(spark, "/root/testdata/sf0.01", "labels").collect()}
+    calm = sorted((r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.01", "documents").collect() if r.text and labels.get(r.doc_id) == 0)
+    calm = [t for _, t in calm if score(t)[0] < 0.3]
+    assert len(calm) > 200
+    for t in calm:
+        assert abs(score(t)[0] - score((t + "\n") * 10)[0]) < 1e-9  # what is said again is no new evidence
+    assert all(score("\n".join(calm[k : k + 20]))[0] < 0.7 for k in range(0, 200, 20))
+
+
+def test_strongest_of_each_bag():
+    rng = np.random.default_rng(4)
+    sizes = np.array([0, 3, 12, 5, 0, 7])
+    bag, first, z = np.repeat(np.arange(6), sizes), np.cumsum(sizes) - sizes, rng.normal(size=27)
+    got = set(toxicity.strongest(z, bag, first).tolist())
+    assert got == {k for b in range(6) for k in sorted(np.flatnonzero(bag == b), key=lambda k: -z[k])[: toxicity.STRONGEST]}
+
+
+def test_labels_without_usable_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(1, "x" * 100), (2, "bad"), (3, "good"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k != 3)) for k in (1, 2, 3, 4, 90, 91, 92, 93)], "doc_id long, toxic int")
+    got = toxicity.training_sample(docs, labels, F.lit(True), max_toxic=2, max_clean=1, max_chars=50)
+    assert [(r.doc_id, r.text, r.toxic) for r in got] == [(2, "bad", 1), (3, "good", 0), (4, "", 1)]
+
+
 def test_toxicity_odd_rows(spark, odd, empty, make):
     labels = spark.createDataFrame([(6, 1, 0), (7, None, 1), (None, 1, 1), (6, 0, 1)], "doc_id long, toxic int, quality int")
     model = toxicity.fit(odd, labels, F.lit(True))

@@ -3,13 +3,15 @@
 A document is a bag of sentences. A sentence's score is the logistic function of a bias and the weights
 of its words, a word's weight the sum of the weights of those of its character n-grams (hashed) that a
 chi-squared test finds telling; a document's score
-is the noisy-or of its sentences. Only document labels are needed: the gradient of the noisy-or hands a
+is the noisy-or of its STRONGEST sentences that differ. Without that bound the small probabilities of calm sentences
+would add up with the length of a text, and any long text would be toxic; a sentence said again is no new evidence.
+Only document labels are needed: the gradient of the noisy-or hands a
 toxic label to the sentences that explain it, and those are then located.
 
 The model is fitted on a bounded sample of labelled rows (MAX_TOXIC, MAX_CLEAN, MAX_CHARS) that is picked
-by a hash of the id; every text is scored whole.
+by a hash of the id, and on UNIONS of clean ones, so that it meets bags of many sizes (a bag of calm bags is calm). Every text is scored whole.
 
-Defined cases: a null or empty text has no sentence and scores 0; a null doc_id counts as the empty id for
+Defined cases: a null or empty text, or one of white space, has no sentence and scores 0; a null doc_id counts as the empty id for
 the split and takes no label; of several labels of one id the largest counts, null labels none; without
 labels of both kinds the weights stay at their start and every score is near 0; an empty table gives none.
 """
@@ -21,6 +23,7 @@ import re
 import uuid
 import zlib
 from array import array
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ from textquarry.llm.common import Recent, crc_mod, id_and_text, kept, map_batche
 #: Bounds of the training sample: documents of each label, characters of one.
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1200, 2400, 50_000
 FEATURES, START_BIAS, EPOCHS, STEP, DECAY = 1 << 18, -5.0, 60, 0.15, 1e-6
+#: Sentences of a document that its score joins; bags that are unions of clean documents, and documents of one.
+STRONGEST, UNIONS, UNION = 5, 200, 12
 THRESHOLD = 0.7
 #: One feature in ten thousand passes by chance.
 CHI2 = 15.14
@@ -71,12 +76,16 @@ class Model:
         weight = Recent(weight_of, CACHE_WORDS, CACHE_CHARS).__getitem__
 
         def score(text: str):
-            total, found = 0.0, []
+            known, found = {}, []
             for m in SENTENCE.finditer(text):
-                z = bias + sum(map(weight, m.group().split()))
-                total += z if z > 30 else math.log1p(math.exp(z))
+                sentence = m.group().strip()
+                if not sentence:
+                    continue
+                if (z := known.get(sentence)) is None:
+                    z = known[sentence] = bias + sum(map(weight, sentence.split()))
                 if z > 0:
                     found.append((m.start(), m.end(), 1 / (1 + math.exp(-min(z, 700.0)))))
+            total = sum(z if z > 30 else math.log1p(math.exp(z)) for z in nlargest(STRONGEST, known.values()))
             return -math.expm1(-total), found
 
         return score
@@ -99,36 +108,57 @@ def telling(doc: np.ndarray, word: np.ndarray, of_word: np.ndarray, feature: np.
     return n * np.maximum(np.abs(a * d - b * c) - n / 2, 0) ** 2 / np.maximum(1.0 * have * (n - have) * toxic * (n - toxic), 1) >= CHI2
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
-    """Noisy-or likelihood by full-batch Adam; words are looked up once, sentences are sparse rows of words."""
-    index: dict[str, int] = {}
-    word_of, sentence_of, doc_of = (array("i") for _ in range(3))
-    for d, text in enumerate(texts):
-        for m in SENTENCE.finditer(text):
-            for w in m.group().split():
-                word_of.append(index.setdefault(w, len(index)))
-                sentence_of.append(len(doc_of))
-            doc_of.append(d)
+def bags_of(texts: list[str]) -> tuple[list[list[str]], list[list[int]]]:
+    """All different sentences of each text as their words, numbered through, and each text's bag of these numbers."""
+    sentences, bags = [], []
+    for text in texts:
+        mine = dict.fromkeys(x for m in SENTENCE.finditer(text) if (x := m.group().strip()))
+        bags.append(list(range(len(sentences), len(sentences) + len(mine))))
+        sentences += [x.split() for x in mine]
+    return sentences, bags
+
+
+def strongest(z: np.ndarray, bag: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The places of the STRONGEST members of each bag. bag: the bag of each member, ascending; first: where each bag begins."""
+    order = np.lexsort((-z, bag))
+    return order[np.arange(len(z)) - first[bag[order]] < STRONGEST]
+
+
+def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, unions: int = UNIONS) -> Model:
+    """Noisy-or likelihood by full-batch Adam; words are looked up once, sentences are sparse rows of words, bags are rows of sentences."""
+    sentences, bags = bags_of(texts)
     bias, weights = START_BIAS, np.zeros(FEATURES)
-    if not word_of or len(set(labels)) < 2:
+    if not sentences or len(set(labels)) < 2:
         return Model({}, bias)
+    index: dict[str, int] = {}
+    word_of = np.array([index.setdefault(w, len(index)) for x in sentences for w in x], dtype=np.int32)
+    sentence_of = np.repeat(np.arange(len(sentences), dtype=np.int32), [len(x) for x in sentences])
+    doc_of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(b) for b in bags])
     of_word, feature = array("i"), array("i")
     for w, k in index.items():
         fs = sorted(map(hashed, grams(w)))
         of_word.extend([k] * len(fs))
         feature.extend(fs)
-    word_of, sentence_of, doc_of, of_word, feature = (np.array(x, dtype=np.int32) for x in (word_of, sentence_of, doc_of, of_word, feature))
-    y, n_docs, n_sentences = np.array(labels), len(texts), len(doc_of)
-    told = telling(doc_of[sentence_of], word_of, of_word, feature, y)[feature]
+    of_word, feature = np.array(of_word, dtype=np.int32), np.array(feature, dtype=np.int32)
+    told = telling(doc_of[sentence_of], word_of, of_word, feature, np.array(labels))[feature]
     of_word, feature = of_word[told], feature[told]
+    rng, clean = np.random.default_rng(8), np.flatnonzero(np.array(labels) == 0)
+    joined = [np.unique(rng.choice(clean, int(rng.integers(2, UNION + 1)))) for _ in range(unions)]
+    bags += [[k for d in group for k in bags[d]] for group in joined]
+    y = np.array(list(labels) + [0] * len(joined))
+    sizes = np.array([len(b) for b in bags])
+    n, member, bag, first = len(bags), np.array([k for b in bags for k in b], dtype=np.int32), np.repeat(np.arange(len(bags)), sizes), np.cumsum(sizes) - sizes
     m1, m2, b1, b2 = np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0
     for t in range(1, epochs + 1):
         by_word = np.bincount(of_word, weights[feature], len(index))
-        z = np.clip(bias + np.bincount(sentence_of, by_word[word_of], n_sentences), -30, 30)
-        p, s = 1 / (1 + np.exp(-z)), np.bincount(doc_of, np.logaddexp(0, z), n_docs)
-        by_doc = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(s, 50)), 1e-6), 1.0) / n_docs
-        slope = p * by_doc[doc_of]
-        g = np.bincount(feature, np.bincount(word_of, slope[sentence_of], len(index))[of_word], FEATURES) + DECAY * weights
+        z = np.clip(bias + np.bincount(sentence_of, by_word[word_of], len(sentences)), -30, 30)
+        top = strongest(z[member], bag, first)
+        of, z = bag[top], z[member[top]]
+        p, s = 1 / (1 + np.exp(-z)), np.bincount(of, np.logaddexp(0, z), n)
+        by_bag = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(s, 50)), 1e-6), 1.0) / n
+        slope = p * by_bag[of]
+        of_sentence = np.bincount(member[top], slope, len(sentences))
+        g = np.bincount(feature, np.bincount(word_of, of_sentence[sentence_of], len(index))[of_word], FEATURES) + DECAY * weights
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         gb = slope.sum()
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb * gb
@@ -139,13 +169,14 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, training: Column, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_CHARS) -> list:
-    """Rows (text, toxic) of at most max_toxic and max_clean documents of at most max_chars characters; training: which rows of labels may be used. The ids, bounded by the two numbers, are broadcast to the scan."""
+    """Rows (text, toxic) of at most max_toxic and max_clean documents of at most max_chars characters; training: which rows of labels may be used. A label takes a place only if its document is there and short enough. The ids, bounded by the two numbers, are broadcast to the scan."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     labels = labels.filter(training & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    short = id_and_text(docs).filter(F.char_length("text") <= max_chars)
+    labels = labels.join(short.select("doc_id").distinct(), "doc_id")
     first = lambda kind, n: labels.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = first(1, max_toxic).unionByName(first(0, max_clean))
-    sample = id_and_text(docs).filter(F.char_length("text") <= max_chars).join(F.broadcast(ids), "doc_id")
-    return sorted(sample.select("doc_id", "text", "toxic").limit(2 * (max_toxic + max_clean)).collect())
+    return sorted(short.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").limit(2 * (max_toxic + max_clean)).collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column) -> Model:
