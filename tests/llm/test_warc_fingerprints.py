@@ -104,6 +104,17 @@ def test_fingerprint_query(spark, sf, monkeypatch):
         assert same.setdefault(texts[r.doc_id], r.fingerprint) == r.fingerprint
 
 
+def test_published_fingerprints_compare(spark, sf):
+    """Where published fingerprints can be peeled, their likeness is that of the whole texts; small changes of long texts can."""
+    rows = fingerprints.op9_fingerprints(spark, sf).collect()
+    given = [(fingerprints.compare(r.fingerprint, r.edited_fingerprint), r.near_edited) for r in rows]
+    assert all(x is None or abs(x - y) < 1e-12 for x, y in given) and any(x is not None and x < 1 for x, _ in given)
+    text = "".join(f"sentence number {k} of a long text. " for k in range(2000))
+    one, two = (fingerprints.sketch([fingerprints.digests(t)]).text(0, len(fingerprints.digests(t))) for t in (text, text.replace("number 77 ", "number x ")))
+    assert fingerprints.compare(one, one) == 1 and fingerprints.compare(one, two) == 2000 / 2002  # 2,001 pieces, of which one differs
+    assert fingerprints.compare(one, fingerprints.sketch([fingerprints.digests("")]).text(0, 0)) is None
+
+
 def test_fingerprint_odd_rows(odd, empty, make):
     rows = fingerprints.fingerprint_changes(odd).collect()
     assert len(rows) == odd.count() and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)

@@ -5,10 +5,13 @@ number of its occurrence (so repeated paragraphs count). A sketch of m cells hol
 of digests hashed there, their sum and the sum of their check values. Subtracting two versions' sketches
 cancels what they share; peeling cells that hold a single digest recovers the digests that differ. Where that
 stops early, both sides are sketched again with four times the cells. The likeness is the Jaccard index that follows
-from the number of digests that differ. The published fingerprint is the sketch of CELLS cells.
+from the number of digests that differ. The published fingerprint is the sketch of CELLS cells: compare() gives the likeness
+of two published ones where they differ little enough to be peeled, and nothing else where not; the likenesses of the
+query come from the same cells, and from larger sketches of the texts where these fail.
 
-The next document comes from ranges of doc_id: each range is sorted in one task, and the first row of a range
-is also sent to the range before, so no task sees more than its range and one row.
+The next document comes from ranges of doc_id: each range is sorted in one task, and the rows of a range's first id
+are also sent to the range before. All rows of one id (and all without one) are in one range. There are MAX_RANGES at most, as
+their bounds are literals of the plan; beyond RANGE_ROWS * MAX_RANGES rows ranges grow, and Spark sorts them with spilling.
 
 Defined cases: a null or empty text has no cells; two empty texts are equal (likeness 1); null ids come first;
 rows of equal id are ordered by a hash of the text; a single document is its own next; an empty table gives none.
@@ -34,6 +37,7 @@ RANGE_ROWS, MAX_RANGES = 2000, 16_384
 #: Multipliers of the digests' cells and check values.
 CELL_KEYS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 CHECK_KEY = np.uint64(0xD6E8FEB86659FD93)
+HALF = (1 << 32) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,8 +67,9 @@ def digests(text: str) -> np.ndarray:
 class Sketches:
     """Sketches of many texts with m cells each, as matrices of a row per text."""
 
-    def __init__(self, rows: int, m: int):
-        self.m = m
+    def __init__(self, rows: int, m: int, mask: int = (1 << 64) - 1):
+        """mask: the bits of the sums of check values that count."""
+        self.m, self.mask = m, np.uint64(mask)
         self.count, self.keys, self.checks = np.zeros(rows * m, dtype=np.int64), np.zeros(rows * m, dtype=np.uint64), np.zeros(rows * m, dtype=np.uint64)
 
     def add(self, row: np.ndarray, key: np.ndarray, sign: np.ndarray | int) -> None:
@@ -85,7 +90,7 @@ class Sketches:
         while len(live):
             sign = self.count[live]
             key = self.keys[live] * sign.view(np.uint64)
-            pure = mix(key ^ CHECK_KEY) * sign.view(np.uint64) == self.checks[live]
+            pure = (mix(key ^ CHECK_KEY) * sign.view(np.uint64) ^ self.checks[live]) & self.mask == 0
             row, key, sign = live[pure] // self.m, key[pure], sign[pure]
             if not len(row):
                 break
@@ -101,12 +106,12 @@ class Sketches:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def failed(self) -> np.ndarray:
-        return ((self.count != 0) | (self.keys != 0) | (self.checks != 0)).reshape(-1, self.m).any(axis=1)
+        return ((self.count != 0) | (self.keys != 0) | (self.checks & self.mask != 0)).reshape(-1, self.m).any(axis=1)
 
     def text(self, row: int, n: int) -> str:
-        """The sketch of one row, of n digests, in base 64."""
+        """The sketch of one row, of n digests, in base 64; of the sums of check values the lower halves, which add and subtract like the whole."""
         cut = slice(row * self.m, (row + 1) * self.m)
-        return base64.b64encode(np.int64(n).astype("<i8").tobytes() + self.count[cut].astype("<i4").tobytes() + self.keys[cut].astype("<u8").tobytes() + (self.checks[cut] >> np.uint64(32)).astype("<u4").tobytes()).decode()
+        return base64.b64encode(np.int64(n).astype("<i8").tobytes() + self.count[cut].astype("<i4").tobytes() + self.keys[cut].astype("<u8").tobytes() + (self.checks[cut] & np.uint64(HALF)).astype("<u4").tobytes()).decode()
 
 
 def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -146,6 +151,21 @@ def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> list[float]:
     return [(len(x) + len(y) - d) / (len(x) + len(y) + d) if len(x) + len(y) + d else 1.0 for x, y, d in zip(a, b, apart, strict=True)]
 
 
+def compare(a: str, b: str) -> float | None:
+    """The likeness of the texts of two published fingerprints, by subtracting and peeling them; None where too many digests differ for their cells."""
+    parts = []
+    for raw in map(base64.b64decode, (a, b)):
+        m = (len(raw) - 8) // 16
+        parts.append((int.from_bytes(raw[:8], "little"), np.frombuffer(raw, "<i4", m, 8).astype(np.int64), np.frombuffer(raw, "<u8", m, 8 + 4 * m), np.frombuffer(raw, "<u4", m, 8 + 12 * m).astype(np.uint64)))
+    (n, *of_a), (k, *of_b) = parts
+    s = Sketches(1, len(of_a[0]), HALF)
+    s.count, s.keys, s.checks = (x - y for x, y in zip(of_a, of_b, strict=True))
+    apart = len(s.peel()[1])
+    if s.failed()[0]:
+        return None
+    return (n + k - apart) / (n + k + apart) if n + k + apart else 1.0
+
+
 def edited(text: str, following: str) -> str:
     """The last floor(n / 2) code points replaced by the first as many of the following text."""
     half = len(text) // 2
