@@ -75,9 +75,15 @@ def count_ops(text: Column) -> Column:
 
 
 def staged(df: DataFrame, column: str, rules: list[Rule]) -> DataFrame:
-    """df with column redacted and a column hits_<rule> for each rule: its matches in what the rules before left. A stage is a projection of its own, so no replacement is worked out twice."""
+    """df with column redacted and a column hits_<rule> for each rule: its matches in what the rules before left. A stage is a projection of its own, so nothing is worked out twice: a rule with a plain replacement splits the text once, which gives both; one that repeats groups is run again only where it has matches."""
     for r in rules:
-        df = df.withColumn(f"hits_{r.name}", F.regexp_count(F.col(column), F.lit(r.pattern))).withColumn(column, F.regexp_replace(column, F.lit(r.pattern), F.lit(r.replacement)))
+        hits = f"hits_{r.name}"
+        if "$" in r.replacement or "\\" in r.replacement:
+            df = df.withColumn(hits, F.regexp_count(F.col(column), F.lit(r.pattern)))
+            df = df.withColumn(column, F.when(F.col(hits) > 0, F.regexp_replace(column, F.lit(r.pattern), F.lit(r.replacement))).otherwise(F.col(column)))
+        else:
+            df = df.withColumn("_parts", F.split(column, r.pattern, -1))
+            df = df.withColumns({hits: F.when(F.col("_parts").isNotNull(), F.size("_parts") - 1), column: F.array_join("_parts", r.replacement)}).drop("_parts")
     return df
 
 

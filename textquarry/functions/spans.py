@@ -5,6 +5,8 @@ Patterns must not match the empty string.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,10 +36,16 @@ def spans(text: Column, pattern: str) -> Column:
 
 
 def overlapping(text: Column, needle: str) -> Column:
-    """Spans of a literal, also where they overlap (a search that goes on one character after each start)."""
-    n = len(needle)
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.char_length(text) - n, F.lit(0))), lambda i: F.substring(text, i + 1, F.lit(n)) == needle)
-    return F.when(F.contains(text, F.lit(needle)), F.transform(places, lambda i: F.struct(i.alias("col_start"), (i + n).alias("col_end"), F.lit(needle).alias("hit")))).otherwise(F.array().cast("array<struct<col_start:int,col_end:int,hit:string>>"))
+    """Spans of a literal, also where they overlap (a search that goes on one character after each start). The text is cut before every occurrence, so the work grows with its length and with the number of occurrences."""
+    n, begins = len(needle), "(?=" + re.sub(r"([^\w])", r"\\\1", needle) + ")"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<col_start:int,col_end:int,hit:string>>").alias("found"))
+
+    def step(state: Column, piece: Column) -> Column:
+        hit = F.array(F.struct(state["at"].alias("col_start"), (state["at"] + n).alias("col_end"), F.lit(needle).alias("hit")))
+        return F.struct((state["at"] + F.char_length(piece["piece"])).alias("at"), F.when(piece["first"] & ~F.startswith(text, F.lit(needle)), state["found"]).otherwise(F.concat(state["found"], hit)).alias("found"))
+
+    pieces = F.transform(F.split(text, begins, -1), lambda p, i: F.struct(p.alias("piece"), (i == 0).alias("first")))
+    return F.when(F.contains(text, F.lit(needle)), F.aggregate(pieces, start, step)["found"]).otherwise(F.array().cast("array<struct<col_start:int,col_end:int,hit:string>>"))
 
 
 def count_literal(text: Column, needle: str) -> Column:

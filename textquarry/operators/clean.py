@@ -13,7 +13,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", column: str = "text", normali
     """id, redacted, normalized (null unless asked for). Tables are found in the text as it is; the mapping goes to the input, the normalized text or both; personal data is redacted in both last."""
     out = docs.select(F.col(id_col).alias("id"), F.col(column).alias("redacted"))
     if normalize:
-        out = out.join(tables.normalize(docs, id_col, column), "id", "left")
+        out = tables.with_normalized(out, "id", "redacted")
     else:
         out = out.withColumn("normalized", F.lit(None).cast("string"))
     if mapping:

@@ -6,7 +6,9 @@ import hashlib
 import json
 import os
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,54 +28,57 @@ ZIP_TIME = (1980, 1, 1, 0, 0, 0)
 # End of fixed values.
 
 
+class Found(NamedTuple):
+    """A path of a listing, where it leads, and what is there: file, directory or other."""
+
+    path: Path
+    real: Path
+    kind: str
+
+
+def look(path: Path) -> Found:
+    real = path.resolve()
+    return Found(path, real, "file" if real.is_file() else "directory" if real.is_dir() else "other")
+
+
+def reasons(roots: list[Path], extensions: set[str], follow_links: bool) -> list[tuple[str, Callable[[Found], bool]]]:
+    """Why a path is left out; the first that holds is the reason. A link that leads out of the roots is traversal, whether links are followed or not; a followed one that leads nowhere is no file."""
+    return [
+        ("path_traversal", lambda f: not any(f.real.is_relative_to(r) for r in roots)),
+        ("symlink_skipped", lambda f: f.path.is_symlink() and not follow_links),
+        ("extension_filtered", lambda f: f.kind == "file" and bool(extensions) and f.real.suffix.lower() not in extensions),
+        ("special_file", lambda f: f.kind == "other"),
+    ]
+
+
 def collect_targets(inputs: list[str], extensions: list[str] | None = None, follow_links: bool = False, max_files: int = MAX_FILES) -> tuple[list[str], list[tuple[str, str]]]:
-    """Files below the inputs by path, each once, at most max_files; and what was left out, with reasons."""
+    """Files below the inputs by path, each once, at most max_files; and what was left out, with reasons. A folder is listed once, so links that go round in circles end."""
     if max_files < 1:
         raise ValueError("max_files is below 1")
-    wanted = {e.lower() if e.startswith(".") else f".{e.lower()}" for e in extensions or []}
-    roots, found, skipped = [], set(), []
-    for given in inputs:
-        real = Path(given).resolve()
-        if real.exists():
-            roots.append(real.parent if real.is_file() else real)
-        else:
-            skipped.append((str(given), "not_found"))
-
-    def inside(path: Path) -> bool:
-        return any(path == r or r in path.parents for r in roots)
-
-    def visit(path: Path) -> None:
-        if len(found) >= max_files:
-            return
-        if path.is_symlink():
-            if not follow_links:
-                return skipped.append((str(path), "symlink_skipped"))
-            if not inside(path.resolve()):
-                return skipped.append((str(path), "symlink_escape"))
-        real = path.resolve()
-        if not inside(real):
-            skipped.append((str(path), "path_traversal"))
-        elif real.is_file():
-            if wanted and real.suffix.lower() not in wanted:
-                skipped.append((str(path), "extension_filtered"))
-            else:
-                found.add(str(real))
-        elif real.is_dir():
+    given = [(Path(x), Path(x).resolve()) for x in inputs]
+    skipped = [(str(path), "not_found") for path, real in given if not real.exists()]
+    roots = [real.parent if real.is_file() else real for _, real in given if real.exists()]
+    rules = reasons(roots, {f".{e.lower().removeprefix('.')}" for e in extensions or []}, follow_links)
+    found, listed = set(), set()
+    todo = [path for path, real in reversed(given) if real.exists()]  # what is next is last
+    while todo and len(found) < max_files:
+        f = look(todo.pop())
+        reason = next((name for name, holds in rules if holds(f)), None)
+        if reason:
+            skipped.append((str(f.path), reason))
+        elif f.kind == "file":
+            found.add(str(f.real))
+        elif f.real not in listed:
+            listed.add(f.real)
             try:
-                below = sorted(real.iterdir(), key=lambda p: p.name)
+                todo += [f.real / name for name in sorted(os.listdir(f.real), reverse=True)]
+            except PermissionError:
+                skipped.append((str(f.path), "permission_denied"))
             except OSError as e:
-                return skipped.append((str(path), "permission_denied" if isinstance(e, PermissionError) else f"read_error:{e}"))
-            for child in below:
-                visit(child)
-        elif real.exists():
-            skipped.append((str(path), "special_file"))
-
-    for given in inputs:
-        if Path(given).exists():
-            visit(Path(given))
+                skipped.append((str(f.path), f"read_error:{e}"))
     if len(found) >= max_files:
         skipped.append(("<truncated>", f"max_files_exceeded:{len(found)}"))
-    return sorted(found)[:max_files], skipped
+    return sorted(found), skipped
 
 
 def read_incidents(spark: SparkSession, path: str) -> DataFrame:
