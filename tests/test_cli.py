@@ -1,4 +1,6 @@
 import json
+
+import pytest
 from pathlib import Path
 
 from textquarry import cli
@@ -100,6 +102,30 @@ def test_trees(spark, tmp_path):
     assert trees.collect_targets([str(tmp_path / "a")], max_files=1)[1] == [("<truncated>", "max_files_exceeded:1")]
 
 
+def test_links_of_a_scan(tmp_path):
+    """The first reason that holds: a link out of the roots is traversal whether links are followed or not, a followed one to nothing is no file, circles end."""
+    root, out = tmp_path / "root", tmp_path / "out"
+    (root / "sub").mkdir(parents=True)
+    out.mkdir()
+    for f in (root / "a.TXT", root / "b.bin", root / "sub/c.txt", out / "d.txt"):
+        f.write_text("x")
+    (root / "inner").symlink_to(root / "sub/c.txt")
+    (root / "outer").symlink_to(out / "d.txt")
+    (root / "broken").symlink_to(root / "nothing")
+    (root / "sub/up").symlink_to(root)
+    names = lambda got: [p.removeprefix(str(root) + "/") for p in got[0]]
+    why = lambda got: sorted((p.removeprefix(str(root) + "/"), r) for p, r in got[1])
+    stays = trees.collect_targets([str(root), str(tmp_path / "none")], ["txt"])
+    assert names(stays) == ["a.TXT", "sub/c.txt"]
+    assert why(stays) == sorted([("b.bin", "extension_filtered"), ("broken", "symlink_skipped"), ("inner", "symlink_skipped"), ("outer", "path_traversal"), ("sub/up", "symlink_skipped"), (str(tmp_path / "none"), "not_found")])
+    followed = trees.collect_targets([str(root)], ["txt"], follow_links=True)
+    assert names(followed) == ["a.TXT", "sub/c.txt"]
+    assert why(followed) == sorted([("b.bin", "extension_filtered"), ("broken", "special_file"), ("outer", "path_traversal")])
+    assert trees.collect_targets([str(root / "a.TXT"), str(root / "a.TXT")])[0] == [str(root / "a.TXT")]
+    with pytest.raises(ValueError, match="max_files"):
+        trees.collect_targets([str(root)], max_files=0)
+
+
 def test_lints(spark):
     from pyspark.sql import functions as F
 

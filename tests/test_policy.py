@@ -63,3 +63,15 @@ def test_validation():
     assert policy.validate([good]) == []
     bad = policy.validate([good, good | {"severity": "x"}, good | {"id": "B", "pattern": "("}, good | {"id": "C", "sample_limit": 0}])
     assert len(bad) == 4 and "twice" in "".join(bad)
+
+
+def test_overlapping_literals(spark):
+    from pyspark.sql import functions as F
+
+    from textquarry.functions import spans
+
+    texts = ["ththth", "x thth thth", "é.*é.*é", "none", "", "th", "athtthth", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for needle in ("thth", "é.*é", "t"):
+        got = [r[0] and [(s.col_start, s.col_end, s.hit) for s in r[0]] or [] for r in df.select(spans.overlapping(F.col("t"), needle)).collect()]
+        assert got == [[(k, k + len(needle), needle) for k in range(len(t or "")) if t.startswith(needle, k)] if t else [] for t in texts]

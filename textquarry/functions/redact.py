@@ -88,17 +88,16 @@ def staged(df: DataFrame, column: str, rules: list[Rule]) -> DataFrame:
 
 
 def net_counters(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns redacted by the net rules, and ips, tokens, keys, emails, hex_strings summed over them per row."""
-    names = ["ips", "tokens", "keys", "emails", "hex_strings"]
-    totals = dict.fromkeys(names, F.lit(0))
-    for c in columns:
-        df = staged(df, c, catalogs.NET)
-        for r in catalogs.NET:
-            df = df.withColumnRenamed(f"hits_{r.name}", f"{c}_{r.name}")
-            counter = catalogs.NET_COUNTER[r.name]
-            totals[counter] = totals[counter] + F.coalesce(F.col(f"{c}_{r.name}"), F.lit(0))
-    df = df.withColumns({n: totals[n].cast("long") for n in names})
-    return df.drop(*[f"{c}_{r.name}" for c in columns for r in catalogs.NET])
+    """Columns redacted by the net rules, and ips, tokens, keys, emails, hex_strings summed over them per row. A rule takes two projections for all columns: one splits, one joins and counts."""
+    names, given = ["ips", "tokens", "keys", "emails", "hex_strings"], df.columns
+    df = df.select(*[F.col(f"`{c}`") for c in given], *[F.lit(0).cast("long").alias(n) for n in names])
+    for r in catalogs.NET:
+        parts = {c: f"_parts_{k}" for k, c in enumerate(columns)}
+        df = df.select("*", *[F.split(F.col(f"`{c}`"), r.pattern, -1).alias(p) for c, p in parts.items()])
+        hits = reduce(lambda x, y: x + y, [F.coalesce(F.when(F.col(p).isNotNull(), F.size(p) - 1), F.lit(0)) for p in parts.values()])
+        made = [F.array_join(parts[c], r.replacement).alias(c) if c in parts else F.col(f"`{c}`") for c in given]
+        df = df.select(*made, *[(F.col(n) + hits).alias(n) if n == catalogs.NET_COUNTER[r.name] else F.col(n) for n in names])
+    return df
 
 
 def preview(df: DataFrame, column: str) -> DataFrame:

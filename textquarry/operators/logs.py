@@ -130,31 +130,52 @@ def distinct_sources(events: DataFrame) -> DataFrame:
 
 
 def diagnose(rows: DataFrame, kind: str, limit: int = 50, redact_events: bool = True) -> DataFrame:
-    """One row: line_count, event_count, the first events, redaction totals, and signals as maps."""
+    """One row: line_count, event_count, the first events, redaction totals, and signals as maps.
+
+    One aggregation over grouping sets makes all counts (in all, by severity, by source, by status and path where the kind has them), so lines are parsed and redacted once for these and once for the events that are shown.
+    """
+    counters = ["emails", "hex_strings", "ips", "keys", "tokens"]
     events = parse(rows, kind)
     if redact_events:
         events = redacted(events)
     else:
-        events = events.withColumns({c: F.lit(0).cast("long") for c in ("ips", "tokens", "keys", "emails", "hex_strings")})
+        events = events.withColumns({c: F.lit(0).cast("long") for c in counters})
+    fields = [c for c in events.columns if c not in counters]
+    by = ["severity", "source", *["status", "path"][: 2 * (kind != "syslog")]]
+    part, value = F.lit("all"), F.lit(None).cast("string")
+    for c in by:
+        part, value = F.when(F.grouping(c) == 0, c).otherwise(part), F.when(F.grouping(c) == 0, F.col(c).cast("string")).otherwise(value)
+    low = F.lower("message")
+    words = [F.count_if(F.contains(low, F.lit(w))).alias(f"word{k}") for k, w in enumerate(SIGNAL_WORDS)]
+    sets = events.groupingSets([[F.col(c)] for c in by] + [[]], *[F.col(c) for c in by])
+    counted = sets.agg(part.alias("part"), value.alias("value"), F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line"), *[F.sum(c).alias(c) for c in counters], *words)
+
+    def of(name: str) -> DataFrame:
+        return counted.filter((F.col("part") == name) & F.col("value").isNotNull())
 
-    def as_map(df: DataFrame, key: str, name: str) -> DataFrame:
-        return df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string"), "n")))).alias(name))
+    def as_map(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias(name))
 
+    def first(name: str) -> DataFrame:
+        return of(name).filter("value <> ''").orderBy(F.desc("n"), "first_line").limit(TOP)
+
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    hits = F.filter(F.array(*[F.struct(F.lit(w).alias("value"), zero(f"word{k}").alias("n")) for k, w in enumerate(SIGNAL_WORDS)]), lambda x: x["n"] > 0)
+    totals = counted.filter("part = 'all'").agg(zero("n").alias("event_count"), F.struct(*[zero(c).alias(c) for c in counters]).alias("redaction_summary"), F.map_from_entries(F.array_sort(hits)).alias("keyword_hits"))
     shown = events.orderBy("line_no").limit(limit)
-    fields = [c for c in events.columns if c not in ("ips", "tokens", "keys", "emails", "hex_strings")]
     parts = [
         rows.agg(F.count(F.lit(1)).alias("line_count")),
-        events.agg(F.count(F.lit(1)).alias("event_count")),
+        totals,
         shown.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("events")),
-        redaction_summary(events).select(F.struct("emails", "hex_strings", "ips", "keys", "tokens").alias("redaction_summary")),
-        as_map(histogram(events, "severity"), "severity", "severity_counts"),
-        as_map(keyword_hits(events), "keyword", "keyword_hits"),
-        distinct_sources(events),
-        as_map(top(events, "source"), "source", "top_sources"),
+        as_map(of("severity"), "severity_counts"),
+        of("source").filter("value <> ''").agg(F.count(F.lit(1)).alias("unique_sources")),
+        as_map(first("source"), "top_sources"),
     ]
     if kind != "syslog":
-        parts += [as_map(histogram(events, "status"), "status", "status_counts"), as_map(top(events, "path"), "path", "top_paths")]
-    out = parts[0]
-    for p in parts[1:]:  # each has exactly one row
-        out = out.join(p)
-    return out
+        parts += [as_map(of("status"), "status_counts"), as_map(first("path"), "top_paths")]
+    # Each part is one row: they are put one below the other and drawn together.
+    names = [c for p in parts for c in p.columns]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p, allowMissingColumns=True)
+    return whole.agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])

@@ -7,8 +7,9 @@ from collections.abc import Iterable
 
 from textquarry.functions import catalogs
 from textquarry.functions.catalogs import Rule
-from textquarry.operators import lexicon, logs, policy, triage
+from textquarry.operators import evidence, lexicon, logs, policy, triage
 from textquarry.plans import queries as q
+from textquarry.sources import files
 
 
 def lit(s: str) -> str:
@@ -186,6 +187,82 @@ INDEX = f"""SELECT 'ops/' || {KIND} || '/r' || doc_id || '.canonical.json' AS ca
  CASE WHEN doc_id % 3 = 0 THEN '9999-12-31T23:59:59Z' ELSE '2024-01-02T03:04:' || lpad((doc_id % 60)::VARCHAR, 2, '0') || 'Z' END AS sort_timestamp_utc, CASE WHEN doc_id % 3 <> 0 THEN '2024-01-02T03:04:' || lpad((doc_id % 60)::VARCHAR, 2, '0') || 'Z' END AS timestamp_utc, nullif(source, '') AS source_ref FROM documents"""
 
 
+def field_counts(source: str, fields: Iterable[str], counters: Iterable[str]) -> str:
+    """Totals of the net rules' counters over every field of every event, stage by stage."""
+    of = lambda c: " + ".join(f"hits_{r.name}" for r in catalogs.NET if catalogs.NET_COUNTER[r.name] == c)
+    each = f"(SELECT line_no AS doc_id, unnest([{', '.join(f'{f}::VARCHAR' for f in fields)}]) AS text FROM {source})"
+    return f"{staged(catalogs.NET, each)} SELECT " + ", ".join(f"coalesce(sum({of(c)}), 0)::BIGINT AS {c}" for c in counters) + f" FROM s{len(catalogs.NET)}"
+
+
+NGINX_RAW = f"(SELECT *, method || ' ' || path || ' -> ' || status AS message, {BY_STATUS} AS severity, source || ' - - [' || ts || '] \"' || method || ' ' || path || ' HTTP/1.1\" ' || status || ' ' || CASE WHEN line_no % 9 = 0 THEN '-' ELSE bytes::VARCHAR END || CASE WHEN user_agent IS NULL THEN '' ELSE ' \"-\" \"agent/1\"' END AS raw FROM {NGINX})"
+
+
+def diagnose_sql() -> str:
+    source = chain("source", catalogs.NET)
+    return f"""SELECT count(*) AS line_count, count(*) AS event_count, least(50, count(*))::INT AS n_events, (SELECT ips FROM ({field_counts(NGINX_RAW, ['source', 'ts', 'method', 'path', 'user_agent', 'message', 'severity', 'raw'], ['ips'])})) AS ips,
+ count(DISTINCT {source}) AS unique_sources, least(10, count(DISTINCT {chain('path', catalogs.NET)}))::INT AS n_paths, count(*) FILTER (status >= 500) AS errors, count(*) FILTER (status = 404) AS not_found FROM {NGINX}"""
+
+
+def blocked_sql(path: str) -> str:
+    """Whether a path's last part matches a blocked name, or the path has a blocked part with a slash."""
+    base = f"regexp_extract({path}, '[^/]*$')"
+    return "(" + " OR ".join([f"regexp_matches({base}, {lit('(?s)' + files.glob_regex(p))})" for p in files.BLOCKED] + [f"contains({path}, {lit(p)})" for p in files.BLOCKED if "/" in p]) + ")"
+
+
+PAGE_PATH = """replace('/data/site' || regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*', '') || CASE page_id % 6 WHEN 0 THEN '/.env' WHEN 1 THEN '/../x' WHEN 2 THEN '/server.pem' WHEN 3 THEN '/.git/config' ELSE '/index.html' END, CASE WHEN page_id % 6 = 4 THEN '/data/site' ELSE chr(0) END, '/srv')"""
+
+
+def path_policy_sql() -> str:
+    under = "(path = '/data/site' OR starts_with(path, '/data/site/'))"
+    reason = f"CASE WHEN regexp_matches(path, '(^|/)\\.\\.(/|$)') THEN 'traversal_detected' WHEN {blocked_sql('path')} THEN 'blocked_pattern' WHEN NOT {under} THEN 'outside_allowed_roots' END"
+    return f"SELECT page_id, reason IS NULL AS allowed, reason FROM (SELECT page_id, {reason} AS reason FROM (SELECT page_id, {PAGE_PATH} AS path FROM pages))"
+
+
+DRIFT = """WITH r AS (SELECT doc_id AS path, sha256(text) AS sha256 FROM documents), a AS (SELECT * FROM r WHERE path % 10 <> 3), b AS (SELECT path, CASE WHEN path % 10 = 5 THEN reverse(sha256) ELSE sha256 END AS sha256 FROM r WHERE path % 10 <> 7)
+SELECT path, status FROM (SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'only_left' WHEN a.path IS NULL THEN 'only_right' WHEN a.sha256 <> b.sha256 THEN 'changed' END AS status FROM a FULL JOIN b ON a.path = b.path) WHERE status IS NOT NULL"""
+INTEGRITY = """WITH r AS (SELECT 'e/' || doc_id || '.json' AS path, doc_id, sha256(text) AS sha256 FROM documents), l AS (SELECT path, CASE WHEN doc_id % 7 = 1 THEN reverse(sha256) ELSE sha256 END || '  ' || CASE WHEN doc_id % 7 = 2 THEN 'other.json' ELSE path END AS line FROM r WHERE doc_id % 7 <> 4),
+s AS (SELECT path, substr(line, 1, 64) AS stored, trim(substr(line, 67)) AS stored_path FROM l WHERE regexp_matches(line, '^[0-9a-f]{64}  .'))
+SELECT r.path, CASE WHEN s.stored IS NULL THEN 'missing' WHEN s.stored <> r.sha256 THEN 'mismatch' WHEN s.stored_path NOT IN ('', r.path, regexp_extract(r.path, '[^/]+$')) THEN 'wrong_path' ELSE 'ok' END AS status FROM r LEFT JOIN s ON r.path = s.path"""
+LINTS = r"""WITH t AS (SELECT doc_id, ['---' || chr(10) || 'name: a' || chr(10) || 'description: b' || chr(10) || '---' || chr(10), '---' || chr(10) || 'name: a' || chr(10) || '---' || chr(10), '---' || chr(10) || 'name: a' || chr(10), '---' || chr(10) || 'description: b' || chr(10) || '---' || chr(10), ''][doc_id % 5 + 1] || text AS text FROM documents),
+h AS (SELECT doc_id, starts_with(text, '---') AS opened, regexp_extract(text, '(?s)^---
+(.*?)
+---', 1) AS head FROM t)
+SELECT doc_id, concat_ws('; ', CASE WHEN NOT opened THEN 'no front matter' END, CASE WHEN opened AND head = '' THEN 'front matter isn''t closed' END, CASE WHEN opened AND head <> '' AND NOT regexp_matches(head, '(?m)^name:\s*\S') THEN 'no name' END, CASE WHEN opened AND head <> '' AND NOT regexp_matches(head, '(?m)^description:\s*\S') THEN 'no description' END) AS errors FROM h"""
+
+
+def per_rule(rules: Iterable[tuple[str, str]], source: str, row: str) -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, {lit(n)} AS rule{row.format(p=lit(p))} FROM {source}" for n, p in rules)
+
+
+def disallowed_sql() -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, {lit(n)} AS rule FROM {SECRETS} WHERE regexp_matches(text, {lit(p)})" for n, p in evidence.DISALLOWED)
+
+
+def secret_sql() -> str:
+    source = """(SELECT doc_id, text || ' SECRET = "abc' || doc_id || '" TOKEN="your_token"' AS text FROM documents)"""
+    return f"SELECT * FROM ({per_rule(evidence.SECRETS, source, ', unnest(regexp_extract_all(text, {p})) AS hit')}) WHERE NOT regexp_matches(lower(hit), {lit(evidence.PLACEHOLDERS)})"
+
+
+SEARCH = r"""WITH l AS (SELECT conv_id || '/' || lpad(turn::VARCHAR, 4, '0') AS file, unnest(string_split_regex(text, '
+|[
+
+]')) AS content, generate_subscripts(string_split_regex(text, '
+|[
+
+]'), 1) AS line FROM conversations),
+m AS (SELECT *, string_split_regex(content, '[a-z]tion') AS g FROM l WHERE regexp_matches(content, '[a-z]tion')), x AS (SELECT *, unnest(range(1, len(g))) AS i FROM m)
+SELECT file, line::INT AS line, (list_sum(list_transform(g[1:i], lambda x: length(x))) + 5 * (i - 1))::INT AS "begin", (list_sum(list_transform(g[1:i], lambda x: length(x))) + 5 * i)::INT AS "end" FROM x ORDER BY file, line, "begin" LIMIT 100"""
+
+
+def previews_sql() -> str:
+    per = []
+    for folded, original in sorted(lexicon.match_set(["License", "version", "under"]).items()):
+        p = term(folded)
+        per.append(f"SELECT doc_id, {lit(original)} AS term, regexp_extract(text, {p}) AS original, length(string_split_regex(text, {p})[1]) AS b, text FROM documents WHERE regexp_matches(text, {p})")
+    cut = r"regexp_replace(regexp_replace(substr(text, greatest(0, b - 20) + 1, least(length(text), b + length(original) + 20) - greatest(0, b - 20)), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+    return f"SELECT doc_id, term, original, CASE WHEN b - 20 > 0 THEN '...' ELSE '' END || {cut} || CASE WHEN b + length(original) + 20 < length(text) THEN '...' ELSE '' END AS context FROM ({' UNION ALL '.join(per)})"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "policy_scan_pii": f"{POLICY_COUNTS} SELECT policy_id, title, severity, severity_rank, match_count, files FROM c JOIN p USING (policy_id)",
@@ -206,16 +283,16 @@ def oracle_sql() -> dict[str, str]:
         "redact_counts_ops": "SELECT doc_id, (" + " + ".join(f"len(regexp_extract_all(text, {lit(re2(r.pattern).replace(chr(40) + '?=' + chr(92) + 's|$|[' + chr(39) + chr(92) + chr(34) + '])', '(?:' + chr(92) + 's|$|[' + chr(39) + chr(92) + chr(34) + '])'))}))" for r in catalogs.OPS) + f")::BIGINT AS hits FROM {SECRETS}",
         "redact_preview_summary": preview_summary(),
         "skip_reasons": "SELECT reason, count(*) AS count FROM (SELECT CASE WHEN contains(url, '#') THEN 'anchor' WHEN starts_with(url, 'http:') THEN 'not secure' END AS reason FROM pages) WHERE reason IS NOT NULL GROUP BY 1",
-        "path_policy": "SELECT page_id, page_id % 6 = 5 AS allowed, CASE page_id % 6 WHEN 1 THEN 'traversal_detected' WHEN 4 THEN 'outside_allowed_roots' WHEN 5 THEN NULL ELSE 'blocked_pattern' END AS reason FROM pages",
+        "path_policy": path_policy_sql(),
         "syslog_events": f"SELECT *, {SYSLOG_SEVERITY} AS severity FROM {SYSLOG}",
         "syslog_signals": f"WITH e AS (SELECT *, {SYSLOG_SEVERITY} AS severity FROM {SYSLOG}) SELECT 'severity:' || severity AS name, count(*) AS n FROM e WHERE severity IS NOT NULL GROUP BY 1 " + " ".join(f"UNION ALL SELECT 'keyword:{w}', n FROM (SELECT count(*) AS n FROM e WHERE contains(lower(message), '{w}')) WHERE n > 0" for w in logs.SIGNAL_WORDS) + " UNION ALL SELECT 'sources', count(DISTINCT source) FROM e",
-        "syslog_redaction": f"SELECT 0::BIGINT AS emails, 0::BIGINT AS hex_strings, (2 * count(*))::BIGINT AS ips, 0::BIGINT AS keys, 0::BIGINT AS tokens FROM {SYSLOG}",
+        "syslog_redaction": field_counts(f"(SELECT *, {SYSLOG_SEVERITY} AS severity, ts || ' ' || source || ' ' || program || coalesce('[' || pid || ']', '') || ': ' || message AS raw FROM {SYSLOG})", ["ts", "source", "program", "pid", "message", "severity", "raw"], ["emails", "hex_strings", "ips", "keys", "tokens"]),
         "nginx_events": f"SELECT *, method || ' ' || path || ' -> ' || status AS message, {BY_STATUS} AS severity FROM {NGINX}",
         "nginx_status": f"SELECT status, count(*) AS n FROM {NGINX} GROUP BY 1",
         "nginx_top_paths": f"SELECT path, count(*) AS n, min(line_no) AS first_line FROM {NGINX} GROUP BY 1 ORDER BY n DESC, first_line LIMIT 10",
         "nginx_top_sources": f"SELECT source, count(*) AS n, min(line_no) AS first_line FROM {NGINX} GROUP BY 1 ORDER BY n DESC, first_line LIMIT 10",
         "haproxy_events": f"SELECT *, CASE WHEN method IS NULL THEN '' ELSE method || ' ' || path || ' ' END || frontend || '->' || backend || '/' || server || ' ' || status AS message, CASE WHEN termination_state = 'CD--' THEN 'warning' WHEN termination_state = 'sH--' THEN 'error' ELSE {BY_STATUS} END AS severity FROM {HAPROXY}",
-        "diagnose_nginx": f"SELECT count(*) AS line_count, count(*) AS event_count, 50::INT AS n_events, (2 * count(*))::BIGINT AS ips, 1::BIGINT AS unique_sources, 10::INT AS n_paths, count(*) FILTER (status >= 500) AS errors, count(*) FILTER (status = 404) AS not_found FROM {NGINX}",
+        "diagnose_nginx": diagnose_sql(),
         "incident_triage": triage_sql(),
         "incident_flags": flags_sql(),
         "incident_evidence": evidence_sql(),
@@ -230,8 +307,8 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_texts": "SELECT sha256(text) AS sha256, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
         "label_orphans": "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "label_dangling": "SELECT doc_id * 2 AS doc_id FROM labels WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)",
-        "drift_diff": "SELECT doc_id AS path, CASE doc_id % 10 WHEN 7 THEN 'only_left' WHEN 3 THEN 'only_right' ELSE 'changed' END AS status FROM documents WHERE doc_id % 10 IN (3, 7) OR (doc_id % 10 = 5 AND sha256(text) <> reverse(sha256(text)))",
-        "integrity_check": "SELECT 'e/' || doc_id || '.json' AS path, CASE doc_id % 7 WHEN 4 THEN 'missing' WHEN 1 THEN 'mismatch' WHEN 2 THEN 'wrong_path' ELSE 'ok' END AS status FROM documents",
+        "drift_diff": DRIFT,
+        "integrity_check": INTEGRITY,
         "evidence_index": INDEX,
         "evidence_counts": f"SELECT kind, count(*) AS n FROM ({INDEX}) GROUP BY 1",
         "license_references": "SELECT doc_id, n AS \"references\", CASE WHEN n = 0 THEN 'missing' WHEN n > 1 THEN 'multiple' ELSE 'one' END AS status FROM (SELECT doc_id, len(regexp_extract_all(text, '[Ll]icense')) AS n FROM documents)",
@@ -242,9 +319,12 @@ def oracle_sql() -> dict[str, str]:
         "text_functions_whole": r"""SELECT doc_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50) AS slug, CASE WHEN length(text) > 120 THEN substr(text, 1, 117) || '...' ELSE text END AS short, substr(sha256(text), 1, 16) AS path_hash,
  array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '|') AS tags, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS collapsed, CASE WHEN text LIKE '%' || chr(10) THEN len(string_split(text, chr(10))) - 1 ELSE len(string_split(text, chr(10))) END AS n_lines, 4::BIGINT AS n_range FROM documents""",
         "extract_normalize": r"""SELECT doc_id, CASE WHEN t = '' THEN '' ELSE t || chr(10) END AS normalized FROM (SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(replace(replace(text, '. ', '. ' || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10) || ' '), chr(13) || chr(10), chr(10)), chr(10)), lambda x: rtrim(x)), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents)""",
-        "document_lints": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'no description' WHEN 2 THEN 'front matter isn''t closed' WHEN 3 THEN 'no name' ELSE 'no front matter' END AS errors FROM documents",
-        "disallowed_scan": "SELECT doc_id, unnest(['password', 'password (upper)']) AS rule FROM documents WHERE regexp_matches(text, '(?i)password\\s*=')".replace("\\\\", "\\"),
-        "json_check": "SELECT event_id, event_id % 17 <> 0 AS valid FROM events",
+        "document_lints": LINTS,
+        "disallowed_scan": disallowed_sql(),
+        "secret_scan": secret_sql(),
+        "search_lines": SEARCH,
+        "lexicon_preview": previews_sql(),
+        "json_check": "SELECT event_id, json_valid(CASE WHEN event_id % 17 = 0 THEN props || '}' ELSE props END) AS valid FROM events",
         "first_difference": "WITH p AS (SELECT doc_id, substr(text, 1, 50) AS a, lead(substr(text, 1, 50)) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents) SELECT doc_id, CASE WHEN a = b THEN -1 ELSE coalesce(list_position(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, i, 1) = substr(b, i, 1)), false) - 1, least(length(a), length(b))) END::BIGINT AS at FROM p WHERE b IS NOT NULL",
         "first_difference_whole": "WITH p AS (SELECT doc_id, text AS a, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents) SELECT doc_id, CASE WHEN a = b THEN -1 ELSE coalesce(list_position(list_transform(list_zip(string_split(a, ''), string_split(b, ''), true), lambda x: x[1] = x[2]), false) - 1, least(length(a), length(b))) END::BIGINT AS at FROM p WHERE b IS NOT NULL",
     }

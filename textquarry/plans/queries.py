@@ -367,7 +367,7 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def disallowed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.disallowed(documents(spark, sf_dir).select("doc_id", "text"))
+    return evidence.disallowed(with_secrets(documents(spark, sf_dir)).select("doc_id", "text"))
 
 
 def jsonl_records(spark: SparkSession, sf_dir: str) -> DataFrame:
