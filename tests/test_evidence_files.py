@@ -115,3 +115,66 @@ def test_policies_from_a_file(tmp_path):
 def test_receipts(tmp_path):
     paths = files.write_receipt(str(tmp_path), "r", {"b": 1, "a": "é"})
     assert paths[1].read_text() == '{"a":"é","b":1}' and paths[2].read_text().endswith("  r.canonical.json\n")
+
+
+def test_logs_receipts_and_targets(spark):
+    from textquarry.operators import evidence
+
+    text = evidence.log_header() + "| 2024-01-02 | c | ok | high | s | `a/x.canonical.json` |\n| 2024-01-02 | c | ok | high | s | - |\n| VL-20240101-7 | a | b | c | d | e |\n| 2024-01-02 | four | columns | only |\n| 2024-01-03 | c | ok | high | s | `b/x.canonical.json` |\n"
+    rows = evidence.log_rows(spark.createDataFrame([(1, text), (None, None), (2, "| 2024-01-02 | no | rule | before | it | `a/x` |")], "doc_id long, text string"))
+    assert [(r.id, r.line, r.kind, r.receipt) for r in rows.orderBy("line").collect()] == [(1, 7, "standard", "a/x.canonical.json"), (1, 8, "standard", None), (1, 9, "legacy", None), (1, 11, "standard", "b/x.canonical.json")]
+    cells = evidence.pipe_rows(spark.createDataFrame([(1, text)], "doc_id long, text string"), 4).collect()
+    assert [(r.n, r.cells) for r in cells] == [(9, ["2024-01-02", "four", "columns", "only"])]
+    there = spark.createDataFrame([("b/x.canonical.json",)], "path string")
+    assert [(r.line, r.error) for r in evidence.receipt_errors(rows, there, "a/").orderBy("line").collect()] == [(7, "not found"), (8, "no receipt"), (11, "another folder")]
+    sides = spark.createDataFrame([("e/a.sha256", "e/a"), ("e/b.sha256", "b"), ("e/c.sha256", "x/b"), ("f/b.sha256", "b"), ("b.sha256", "b")], "sidecar_path string, target string")
+    gone = evidence.missing_targets(sides, spark.createDataFrame([("e/a",), ("e/b",)], "path string"))
+    assert sorted(r.sidecar_path for r in gone.collect()) == ["b.sha256", "f/b.sha256"]
+
+
+def test_packs_gates_and_reads(tmp_path):
+    import json
+
+    import pytest
+
+    from textquarry.sources import files, trees
+
+    rule = {"id": "X1", "title": "t", "severity": "low", "type": "contains", "needle": "n", "description": "d"}
+    (tmp_path / "own.v1.json").write_text(json.dumps({"schema_version": "1.0", "policies": [rule]}))
+    (tmp_path / ".hidden.json").write_text("{}")
+    assert files.policy_packs(str(tmp_path)) == ["own.v1", "pii.v1", "secrets.v1"]
+    assert [p.id for p in files.policy_pack("own.v1", str(tmp_path))] == ["X1"] and files.policy_pack("pii.v1")
+    for bad in ("../own", ".x", "", "none"):
+        with pytest.raises(ValueError, match="pack"):
+            files.policy_pack(bad, str(tmp_path))
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/pack.json").write_text("{}")
+    assert files.lock_gate(str(tmp_path)) == [{"path": "p", "problems": ["pack.lock.json is missing"]}]
+    (tmp_path / "r.txt").write_bytes(b"0123456789")
+    assert files.read_range(str(tmp_path / "r.txt"), [str(tmp_path)], 2, 3) == {"content": "234", "bytes_read": 3, "offset": 2, "truncated": True}
+    assert files.read_range(str(tmp_path / "r.txt"), [str(tmp_path)], 20) == {"content": "", "bytes_read": 0, "offset": 20, "truncated": False}
+    with pytest.raises(PermissionError, match="outside"):
+        files.read_range(str(tmp_path / "r.txt"), [str(tmp_path / "p")])
+    assert trees.merge_receipt({"state": "MERGED", "number": 3, "other": 1}) == {"number": 3, "state": "MERGED"}
+    with pytest.raises(ValueError, match="OPEN"):
+        trees.merge_receipt({"state": "OPEN"})
+    (tmp_path / "f").write_text("")
+    assert trees.source_folder_errors(str(tmp_path), ["./p", "./f", "./none", "../x"]) == [("./f", "no folder"), ("./none", "not found"), ("../x", "leaves the tree")]
+
+
+def test_audit_and_paths(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from textquarry.functions.text import path_hash
+    from textquarry.sources import files, trees
+
+    entries = [files.read_audit("/a/b.txt", 5, False, "T"), files.list_audit("/a", 3, True, "T"), files.search_audit("/a", 1, 9, "T"), files.denied_audit("read_file", "/x/.env", "blocked_pattern", "T")]
+    files.append_audit(spark.createDataFrame(entries, files.AUDIT_SCHEMA), str(tmp_path / "log"))
+    files.append_audit(spark.createDataFrame(entries[:1], files.AUDIT_SCHEMA), str(tmp_path / "log"))
+    rows = spark.read.json(str(tmp_path / "log")).collect()
+    assert len(rows) == 5 and {r.path for r in rows} == {"b.txt", "a", ".env"} and sum(not r.success for r in rows) == 1
+    want = spark.range(1).select(path_hash(F.lit("/a/b.txt"))).first()[0]
+    assert want in {r.path_hash for r in rows}
+    df = spark.createDataFrame([("/r/a/b", "good-name"), ("/ra/b", "BadName"), ("/r", None)], "p string, n string")
+    assert [r[0] for r in df.select(trees.relative_to(F.col("p"), "/r/")).collect()] == ["a/b", "/ra/b", "/r"]
+    assert [len(r[0]) for r in df.select(trees.name_warnings(F.col("n"))).collect()] == [0, 1, 1]

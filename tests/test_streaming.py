@@ -10,3 +10,11 @@ def test_windows_and_redaction(spark, tmp_path):
         q.awaitTermination(60)
     assert sorted((r.severity, r.n) for r in spark.table("windows").collect()) == [("error", 2), ("info", 1)]
     assert "error from [REDACTED_IP]" in [r.line for r in spark.table("clean").collect()]
+
+
+def test_sessions(spark):
+    from textquarry.streaming import signals
+
+    rows = [("a", "2024-01-01 10:00:00"), ("a", "2024-01-01 10:20:00"), ("a", "2024-01-01 11:00:00"), ("b", "2024-01-01 10:00:00")]
+    lines = spark.createDataFrame(rows, "host string, ts string").selectExpr("host", "CAST(ts AS timestamp) AS ts")
+    assert sorted((r.host, r.n) for r in signals.sessions(lines, "host").collect()) == [("a", 1), ("a", 2), ("b", 1)]

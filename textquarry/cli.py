@@ -1,4 +1,4 @@
-"""Command line: clean, lexicon-map, check, diagnose, triage, incident-triage, pack, evidence-index, search.
+"""Command line: clean, lexicon-map, check, diagnose, triage, incident-triage, pack, evidence-index, list, read, search, preview.
 
     python -m textquarry.cli check --input logs --pack pii.v1 --fail-on high
 
@@ -25,10 +25,11 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("textquarry").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def text_of(spark: SparkSession, path: str) -> str:
+def text_of(spark: SparkSession, path: str, kind: str | None = None) -> str:
+    """The text of a file or of the input; a PDF's by its ending, unless kind says otherwise."""
     if path == "-":
         return sys.stdin.read()
-    if path.lower().endswith(".pdf"):
+    if kind == "pdf" or kind is None and path.lower().endswith(".pdf"):
         return files.pdf_texts(spark, path).first()["text"]
     data = Path(path).read_bytes()
     try:
@@ -39,8 +40,10 @@ def text_of(spark: SparkSession, path: str) -> str:
 
 def run_clean(spark, a) -> tuple[str, int]:
     mapping = files.load_mapping(a.lexicon) if a.lexicon else None
-    kind = "pdf" if a.input.lower().endswith(".pdf") else "text"
-    docs = spark.createDataFrame([(0, text_of(spark, a.input))], "doc_id long, text string")
+    kind = a.input_type if a.input_type != "auto" else "pdf" if a.input.lower().endswith(".pdf") else "text"
+    if kind == "pdf" and a.input == "-":
+        raise ValueError("--input-type pdf needs --input")
+    docs = spark.createDataFrame([(0, text_of(spark, a.input, kind))], "doc_id long, text string")
     out = clean.clean(docs, normalize=a.normalize_tables, mapping=mapping, target=a.lexicon_target)
     if a.output_format == "text":
         return clean.shown(out).first()["text"], 0
@@ -60,8 +63,8 @@ def run_lexicon_map(spark, a) -> tuple[str, int]:
 
 def run_check(spark, a) -> tuple[str, int]:
     if a.list_packs:
-        return "\n".join(sorted(policy.PACKS)) + "\n", 0
-    policies = sorted(policy.PACKS[a.pack]) if a.pack else files.load_policies(a.policy)
+        return "\n".join(files.policy_packs(a.pack_folder)) + "\n", 0
+    policies = sorted(files.policy_pack(a.pack, a.pack_folder)) if a.pack else files.load_policies(a.policy)
     targets, skipped = trees.collect_targets(a.input, a.include_ext, a.follow_symlinks, a.max_files)
     single = len(a.input) == 1 and Path(a.input[0]).is_file()
     if not targets:
@@ -117,12 +120,23 @@ def run_evidence_index(spark, a) -> tuple[str, int]:
     if a.write:
         trees.write_index(index, a.input)
         return "".join(errors), int(bool(errors))
+    if a.print_canonical:
+        return trees.index_artifacts(index)["INDEX.canonical.json"], int(bool(errors))
     if a.check:
         drifted = trees.index_drift(index, a.input)
         return "".join(errors) + "".join(f"{n} differs\n" for n in drifted), int(bool(errors or drifted))
     return trees.index_artifacts(index)["INDEX.json"], int(bool(errors))
 
 
+def run_list(spark, a) -> tuple[str, int]:
+    entries, more = files.list_dir(a.input, a.allowed, a.limit or files.MAX_RESULTS)
+    return lexicon.pretty_json({"entries": entries, "truncated": more}), 0
+
+
+def run_read(spark, a) -> tuple[str, int]:
+    return lexicon.pretty_json(files.read_range(a.input, a.allowed, a.offset, a.limit)), 0
+
+
 def run_search(spark, a) -> tuple[str, int]:
     texts = files.files(spark, a.input, max_files=None)
     allowed = texts.filter(files.blocked(F.col("file")).isNull() & ~F.col("truncated"))
@@ -147,7 +161,10 @@ def parser() -> argparse.ArgumentParser:
     c = command("clean", run_clean)
     c.add_argument("--normalize-tables", action="store_true")
     c.add_argument("--output-format", choices=["text", "jsonl"], default="text")
+    c.add_argument("--input-type", choices=["auto", "text", "pdf"], default="auto")
+    c.add_argument("--pdf-mode", choices=["text-only"], default="text-only")
     c.add_argument("--lexicon")
+    c.add_argument("--lexicon-mode", choices=["replace"], default="replace")
     c.add_argument("--lexicon-target", choices=["input", "normalized", "both"], default="input")
     c = command("lexicon-map", run_lexicon_map)
     c.add_argument("--pack", required=True)
@@ -156,8 +173,9 @@ def parser() -> argparse.ArgumentParser:
     c = command("check", run_check, many=True)
     which = c.add_mutually_exclusive_group(required=True)
     which.add_argument("--policy")
-    which.add_argument("--pack", choices=sorted(policy.PACKS))
+    which.add_argument("--pack")
     which.add_argument("--list-packs", action="store_true")
+    c.add_argument("--pack-folder")
     c.add_argument("--no-redact", action="store_true")
     c.add_argument("--fail-on", choices=policy.SEVERITIES, default="high")
     c.add_argument("--format", choices=["check", "results"], default="check")
@@ -184,6 +202,12 @@ def parser() -> argparse.ArgumentParser:
     c = command("evidence-index", run_evidence_index)
     c.add_argument("--write", action="store_true")
     c.add_argument("--check", action="store_true")
+    c.add_argument("--print-canonical", action="store_true")
+    for name, run in (("list", run_list), ("read", run_read)):
+        c = command(name, run)
+        c.add_argument("--allowed", action="append", required=True, help="a root that may be shown")
+        c.add_argument("--limit", type=int)
+        c.add_argument("--offset", type=int, default=0)
     c = command("search", run_search)
     c.add_argument("--pattern", required=True)
     c.add_argument("--limit", type=int, default=files.MAX_RESULTS)

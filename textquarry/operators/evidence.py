@@ -43,6 +43,50 @@ def dangling(references: DataFrame, items: DataFrame, key: str) -> DataFrame:
     return references.join(items.select(key).distinct(), key, "left_anti")
 
 
+def missing_targets(sidecars: DataFrame, items: DataFrame) -> DataFrame:
+    """sidecars: sidecar_path, target (as its line names it). items: path. Checksums whose target is neither there nor, by its last part, in the sidecar's own folder."""
+    known = items.select(F.col("path").alias("target")).distinct()
+    beside = F.concat(F.regexp_extract("sidecar_path", "^(.*/)?", 0), F.regexp_extract("target", "[^/]*$", 0))
+    rest = sidecars.join(known, "target", "left_anti").withColumn("_beside", beside)
+    return rest.join(known.withColumnRenamed("target", "_beside"), "_beside", "left_anti").drop("_beside")
+
+
+#: The columns of a log of validated claims.
+LOG_COLUMNS = ["Date (UTC)", "Claim", "Status", "Confidence", "Source", "Receipt"]
+
+
+def log_header(title: str = "Validation Log", about: str = "This log tracks validated claims with immutable evidence receipts.", columns: list[str] = LOG_COLUMNS) -> str:
+    """The beginning of a log: a heading, a sentence, and a table without rows."""
+    return f"# {title}\n\n{about}\n\n| {' | '.join(columns)} |\n|{'---|' * len(columns)}\n"
+
+
+def log_rows(docs: DataFrame, id_col: str = "doc_id", column: str = "text", columns: int = len(LOG_COLUMNS)) -> DataFrame:
+    """id, line (from 1), kind, receipt of the rows of log tables: legacy by a first cell like VL-20240131-1, standard by a date; other rows, and those before the first rule of dashes, are none. receipt: the path in back quotes of a standard row's last cell, null if it has none."""
+    is_rule = lambda x: F.startswith(F.trim(x), F.lit("|")) & F.contains(x, F.lit("---"))
+    lines = F.split(F.col(column), "\n", -1)
+    begins = F.array_position(F.transform(lines, is_rule), F.lit(True))
+    rows = docs.select(F.col(id_col).alias("id"), begins.alias("rule"), F.posexplode(lines).alias("k", "text")).filter((F.col("rule") > 0) & (F.col("k") >= F.col("rule")) & F.startswith(F.trim("text"), F.lit("|")) & ~is_rule(F.col("text")))
+    cells = F.transform(F.split(F.regexp_replace(F.trim("text"), r"^\||\|$", ""), r"\|", -1), lambda c: F.trim(c))
+    rows = rows.withColumn("cells", cells).filter(F.size("cells") == columns)
+    kind = F.when(F.col("cells")[0].rlike(r"^VL-\d{8}-\d+"), "legacy").when(F.col("cells")[0].rlike(r"^\d{4}-\d{2}-\d{2}"), "standard")
+    receipt = F.when(F.col("kind") == "standard", F.nullif(F.regexp_extract(F.element_at("cells", -1), r"`([^`]+)`", 1), F.lit("")))
+    return rows.withColumn("kind", kind).filter("kind IS NOT NULL").select("id", (F.col("k") + 1).alias("line"), "kind", receipt.alias("receipt"))
+
+
+def receipt_errors(rows: DataFrame, receipts: DataFrame, prefix: str, suffix: str = ".canonical.json") -> DataFrame:
+    """rows as log_rows() gives them. receipts: path. id, line, error of standard rows: no receipt, another folder or ending than the two, or a receipt that isn't there; the first that holds."""
+    known = receipts.select(F.col("path").alias("receipt"), F.lit(True).alias("_there")).distinct()
+    error = F.when(F.col("receipt").isNull(), "no receipt").when(~F.startswith("receipt", F.lit(prefix)), "another folder").when(~F.endswith("receipt", F.lit(suffix)), "another ending").when(F.col("_there").isNull(), "not found")
+    return rows.filter("kind = 'standard'").join(known, "receipt", "left").withColumn("error", error).filter("error IS NOT NULL").select("id", "line", "error")
+
+
+def newest_decisions(docs: DataFrame, n: int = 10, path: str = "path", column: str = "text") -> DataFrame:
+    """path, title, status, receipt of the n decision records that are last by path; null where a record has none."""
+    found = lambda p: F.nullif(F.regexp_extract(column, p, 1), F.lit(""))
+    records = docs.filter(F.regexp_extract(path, "[^/]*$", 0).rlike(r"^ADR-.*\.md$"))
+    return records.orderBy(F.desc(path)).limit(n).select(F.col(path).alias("path"), found(r"(?m)^# .+?: (.+)$").alias("title"), found(r"\*\*Status\*\*:\s*(\w+)").alias("status"), found(r"`([^`]+\.canonical\.json)`").alias("receipt"))
+
+
 def drift(left: DataFrame, right: DataFrame, key: str = "path", content: str = "sha256") -> DataFrame:
     """key, status of what differs: only_left, only_right, changed."""
     a, b = left.select(key, F.col(content).alias("a"), F.lit(True).alias("in_a")), right.select(key, F.col(content).alias("b"), F.lit(True).alias("in_b"))
@@ -77,7 +121,7 @@ def reference_count(docs: DataFrame, pattern: str, column: str = "text") -> Data
 def pipe_rows(docs: DataFrame, columns: int, id_col: str = "doc_id", column: str = "text") -> DataFrame:
     """Rows of Markdown tables with so many cells, rules left out: id, n, cells."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(column), "\n", -1)).alias("n", "line")).filter(F.trim("line").rlike(r"^\|.*\|$"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|", -1), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|", -1), lambda c: F.trim(c))
     return lines.select("id", "n", cells.alias("cells")).filter((F.size("cells") == columns) & ~F.forall("cells", lambda c: c.rlike("^:?-+:?$")))
 
 

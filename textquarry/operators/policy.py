@@ -106,7 +106,7 @@ def findings(docs: DataFrame, policies: list[Policy], overlapping: bool = True,
     shown = shown.groupBy("policy_id").agg(F.array_sort(F.collect_list(F.struct("file", "line", "col_start", "col_end", "excerpt"))).alias("samples"))
     known = F.broadcast(table_of(docs.sparkSession, policies))  # as many rows as policies
     out = counts(rows, policies, overlapping).join(shown, "policy_id").join(known, "policy_id").withColumn("severity_rank", rank(F.col("severity")))
-    out = out.select("policy_id", "title", "severity", "severity_rank", "description", "match_count", "files", "samples").orderBy("severity_rank", "policy_id")
+    out = out.select("policy_id", "title", "severity", "severity_rank", "description", "match_count", "files", "samples").orderBy("severity_rank", "policy_id", F.get("samples", F.lit(0))["file"])
     return out if max_findings is None else out.limit(max_findings)
 
 

@@ -263,8 +263,21 @@ def previews_sql() -> str:
     return f"SELECT doc_id, term, original, CASE WHEN b - 20 > 0 THEN '...' ELSE '' END || {cut} || CASE WHEN b + length(original) + 20 < length(text) THEN '...' ELSE '' END AS context FROM ({' UNION ALL '.join(per)})"
 
 
+CHECKSUMS = """WITH d AS (SELECT DISTINCT doc_id AS k, 'e/' || doc_id || '.json' AS path FROM documents), s AS (SELECT path || '.sha256' AS sidecar_path, CASE k % 3 WHEN 0 THEN path WHEN 1 THEN k || '.json' ELSE 'e/' || k || 'x.json' END AS target FROM d), i AS (SELECT path FROM d WHERE k % 4 <> 0)
+SELECT target, sidecar_path FROM s WHERE target NOT IN (SELECT path FROM i) AND regexp_extract(sidecar_path, '^(.*/)?') || regexp_extract(target, '[^/]*$') NOT IN (SELECT path FROM i)"""
+#: A log's table begins in its seventh line, after a line before the heading; its rows go by the customer's number.
+LOG_RECEIPTS = r"""WITH c AS (SELECT c_custkey AS k, c_nationkey::BIGINT AS doc_id, 7 + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS line FROM customer),
+r AS (SELECT doc_id, line, k, CASE WHEN k % 5 = 0 THEN 'legacy' ELSE 'standard' END AS kind, CASE WHEN k % 5 = 0 OR k % 7 = 0 THEN NULL WHEN k % 7 = 1 THEN 'ops/other/' || k || '.canonical.json' WHEN k % 7 = 2 THEN 'ops/evidence/validation/' || k || '.json' ELSE 'ops/evidence/validation/' || k || '.canonical.json' END AS receipt FROM c WHERE k % 13 <> 0 AND (k % 5 = 0 OR k % 11 <> 0))
+SELECT doc_id, line, kind, receipt, CASE WHEN kind = 'legacy' THEN NULL WHEN receipt IS NULL THEN 'no receipt' WHEN NOT starts_with(receipt, 'ops/evidence/validation/') THEN 'another folder' WHEN NOT ends_with(receipt, '.canonical.json') THEN 'another ending' WHEN receipt NOT IN (SELECT 'ops/evidence/validation/' || c_custkey || '.canonical.json' FROM customer WHERE c_custkey % 2 = 0) THEN 'not found' END AS error FROM r"""
+DECISIONS = r"""SELECT path, CASE WHEN k % 4 <> 0 THEN p_name END AS title, CASE WHEN k % 3 <> 0 THEN regexp_extract(p_type, '^\w+') END AS status, CASE WHEN k % 5 <> 0 THEN 'ops/evidence/decisions/' || k || '.canonical.json' END AS receipt
+FROM (SELECT *, p_partkey AS k, 'docs/ADR-' || lpad(p_partkey::VARCHAR, 8, '0') || '.md' AS path FROM part) WHERE k % 6 <> 0 ORDER BY path DESC LIMIT 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "checksum_targets": CHECKSUMS,
+        "log_receipts": LOG_RECEIPTS,
+        "decision_records": DECISIONS,
         "policy_scan_pii": f"{POLICY_COUNTS} SELECT policy_id, title, severity, severity_rank, match_count, files FROM c JOIN p USING (policy_id)",
         "policy_samples": f"WITH {scan()}, r AS (SELECT *, row_number() OVER (PARTITION BY policy_id ORDER BY doc_id, line, col_start) AS sample, floor((120 - w) / 2)::INT AS pad FROM hits), e AS (SELECT policy_id, sample, doc_id, line::INT AS line, col_start, col_start + w AS col_end, {EXCERPT} AS x FROM r JOIN p USING (policy_id) WHERE sample <= sample_limit) SELECT * EXCLUDE (x), {chain('x', catalogs.POLICY)} AS excerpt FROM e",
         "policy_literals": literals_sql(),

@@ -298,6 +298,41 @@ def evidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.counts_by_kind(evidence_index(spark, sf_dir))
 
 
+def checksum_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checksums of documents: some name the whole path, some the last part, some a file that isn't there; and some documents are gone."""
+    d = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("i"), F.col("doc_id").alias("k")).distinct()
+    path = F.concat(F.lit("e/"), "i", F.lit(".json"))
+    target = F.when(F.col("k") % 3 == 0, path).when(F.col("k") % 3 == 1, F.concat("i", F.lit(".json"))).otherwise(F.concat(F.lit("e/"), "i", F.lit("x.json")))
+    return evidence.missing_targets(d.select(F.concat(path, F.lit(".sha256")).alias("sidecar_path"), target.alias("target")), d.filter("k % 4 <> 0").select(path.alias("path")))
+
+
+def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of claims made from customers, one a nation: legacy rows, standard rows with receipts of several forms, rows of other tables."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    i = k.cast("string")
+    receipt = F.when(k % 7 == 0, "none yet").when(k % 7 == 1, F.concat(F.lit("`ops/other/"), i, F.lit(".canonical.json`"))).when(k % 7 == 2, F.concat(F.lit("`ops/evidence/validation/"), i, F.lit(".json`"))).otherwise(F.concat(F.lit("`ops/evidence/validation/"), i, F.lit(".canonical.json`")))
+    first = F.when(k % 5 == 0, F.concat(F.lit("VL-20240131-"), i)).when(k % 11 == 0, "soon").otherwise("2024-02-03")
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", first, F.concat(F.lit("claim of "), "c_name"), F.lit("ok"), F.lit("high"), "c_mktsegment", receipt), F.lit(" |"), F.when(k % 13 == 0, " more |").otherwise(""))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), row.alias("row")))), lambda x: x["row"]), "\n")
+    return c.groupBy(F.col("c_nationkey").cast("long").alias("doc_id")).agg(F.concat(F.lit("| 2024-01-01 | before | the | rule | is | none |\n" + evidence.log_header()), rows).alias("text"))
+
+
+def log_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the logs, and what is wrong with their receipts, of which those with even numbers are there."""
+    rows = evidence.log_rows(log_texts(spark, sf_dir))
+    there = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.concat(F.lit("ops/evidence/validation/"), F.col("c_custkey").cast("string"), F.lit(".canonical.json")).alias("path"))
+    errors = evidence.receipt_errors(rows, there, "ops/evidence/validation/")
+    return rows.join(errors, ["id", "line"], "left").select(F.col("id").alias("doc_id"), F.col("line").cast("long").alias("line"), "kind", "receipt", "error")
+
+
+def decision_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest of records made from parts."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    body = F.concat(F.when(k % 4 == 0, "no heading\n").otherwise(F.concat(F.lit("# ADR "), k.cast("string"), F.lit(": "), "p_name", F.lit("\n"))), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("**Status**: "), F.regexp_extract("p_type", r"^\w+", 0), F.lit(" now\n"))), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("see `ops/evidence/decisions/"), k.cast("string"), F.lit(".canonical.json`\n"))))
+    path = F.concat(F.when(k % 6 == 0, "docs/README-").otherwise("docs/ADR-"), F.lpad(k.cast("string"), 8, "0"), F.lit(".md"))
+    return evidence.newest_decisions(p.select(path.alias("path"), body.alias("text")))
+
+
 def license_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.reference_count(documents(spark, sf_dir), "[Ll]icense").select("doc_id", F.col("references").cast("long").alias("references"), "status")
 

@@ -28,7 +28,7 @@ PLAIN = [
     q.syslog_events, q.syslog_signals, q.syslog_redaction, q.nginx_events, q.nginx_status, q.nginx_top_paths, q.nginx_top_sources, q.haproxy_events, q.diagnose_nginx,
     q.incident_triage, q.incident_flags, q.incident_evidence, q.text_signals,
     q.table_normalize, q.table_csv, q.lexicon_counts, q.lexicon_totals, q.lexicon_redact, q.lexicon_inject, q.lexicon_preview, q.lexicon_hash,
-    q.row_manifest, q.duplicate_texts, q.label_orphans, q.label_dangling, q.drift_diff, q.integrity_check, q.evidence_index, q.evidence_counts, q.license_references,
+    q.row_manifest, q.duplicate_texts, q.label_orphans, q.label_dangling, q.drift_diff, q.integrity_check, q.evidence_index, q.evidence_counts, q.license_references, q.checksum_targets, q.log_receipts, q.decision_records,
     q.newest_orders, q.last_events, q.text_functions, q.text_functions_whole, q.extract_normalize, q.first_difference, q.first_difference_whole, q.document_lints, q.secret_scan, q.disallowed_scan, q.jsonl_records, q.json_check,
 ]
 

@@ -149,6 +149,72 @@ def append_audit(entries: DataFrame, folder: str) -> None:
     audit_rows(entries).write.mode("append").json(folder)
 
 
+def audit_entry(operation: str, path: str | None, success: bool, now: str, denial_reason: str | None = None, **metadata) -> dict:
+    """An entry for audit_rows(): what was done, where, and numbers about it as texts; never content."""
+    return {"timestamp": now, "operation": operation, "path": path, "success": success, "denial_reason": denial_reason, "metadata": {k: str(v) for k, v in metadata.items() if v is not None}}
+
+
+def read_audit(path: str, size: int, truncated: bool, now: str) -> dict:
+    return audit_entry("read_file", path, True, now, bytes=size, truncated=truncated)
+
+
+def list_audit(path: str, entries: int, truncated: bool, now: str) -> dict:
+    return audit_entry("list_dir", path, True, now, entries=entries, truncated=truncated)
+
+
+def search_audit(path: str, results: int, searched: int, now: str) -> dict:
+    return audit_entry("search_text", path, True, now, results=results, files_searched=searched)
+
+
+def denied_audit(operation: str, path: str, reason: str, now: str) -> dict:
+    return audit_entry(operation, path, False, now, reason)
+
+
+AUDIT_SCHEMA = "timestamp string, operation string, path string, success boolean, denial_reason string, metadata map<string,string>"
+
+
+def read_range(path: str, roots: list[str], offset: int = 0, limit: int | None = None, max_bytes: int = MAX_FILE_BYTES) -> dict:
+    """A range of bytes of one allowed file on the driver: content, bytes_read, offset, and whether more follows."""
+    ok, reason = allowed_path(path, roots)
+    if not ok:
+        raise PermissionError(reason)
+    if offset < 0 or limit is not None and limit < 0:
+        raise ValueError("offset and limit can't be below 0")
+    if not os.path.isfile(path):
+        raise FileNotFoundError(path)
+    wanted = max_bytes if limit is None else min(limit, max_bytes)
+    with open(path, "rb") as f:
+        f.seek(offset)
+        data = f.read(wanted)
+        more = bool(f.read(1))
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        text = data.decode("latin-1")
+    return {"content": text, "bytes_read": len(data), "offset": offset, "truncated": more}
+
+
+#: Fixed value: names of policy packs.
+PACK_NAME = r"[A-Za-z0-9][A-Za-z0-9._-]*"
+
+
+def policy_packs(folder: str | None = None) -> list[str]:
+    """Names of the built-in packs and of the pack files of a folder, in order."""
+    own = [p.stem for p in Path(folder).glob("*.json")] if folder else []
+    return sorted({*policy.PACKS, *(n for n in own if re.fullmatch(PACK_NAME, n))})
+
+
+def policy_pack(name: str, folder: str | None = None) -> list[policy.Policy]:
+    """The policies of a pack: a file of the folder before a built-in one."""
+    if not re.fullmatch(PACK_NAME, name):
+        raise ValueError(f"{name!r} is no name of a pack")
+    if folder and (Path(folder) / f"{name}.json").is_file():
+        return load_policies(str(Path(folder) / f"{name}.json"))
+    if name not in policy.PACKS:
+        raise ValueError(f"no pack {name}; there are {', '.join(policy_packs(folder))}")
+    return policy.PACKS[name]
+
+
 def load_policies(path: str) -> list[policy.Policy]:
     """Policies of a JSON file, by id."""
     data = json.loads(Path(path).read_text(encoding="utf-8"))
@@ -269,6 +335,15 @@ def verify_all(root: str, fail_fast: bool = False) -> list[tuple[str, list[str]]
     return out
 
 
+def lock_gate(root: str) -> list[dict]:
+    """Every pack below root with what its lock has against it: no lock, an unreadable one, a pack that can't be locked, or fields that a new lock would have otherwise."""
+    out = []
+    for name in discover_packs(root):
+        has = (Path(root) / name / "pack.lock.json").is_file()
+        out.append({"path": name, "problems": verify_lock(os.path.join(root, name)) if has else ["pack.lock.json is missing"]})
+    return out
+
+
 def write_receipt(folder: str, name: str, receipt: dict) -> list[Path]:
     """A receipt as readable JSON, as canonical JSON, and the canonical one's checksum line."""
     compact = json.dumps(receipt, sort_keys=True, separators=(",", ":"), ensure_ascii=False)

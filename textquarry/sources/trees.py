@@ -182,8 +182,37 @@ def decision_errors(docs: DataFrame, sections: list[str], receipts: DataFrame, c
     return rows.withColumn("errors", F.concat(evidence.section_errors(F.col(column), sections), more)).drop("_links", "_path", "_there")
 
 
+def relative_to(path: Column, root: str) -> Column:
+    """A path below root without it, other paths as they are."""
+    base = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(base)), F.substr(path, F.lit(len(base) + 1))).otherwise(path)
+
+
+def name_warnings(name: Column) -> Column:
+    """A name should be in kebab case."""
+    return evidence.errors([(~F.coalesce(name.rlike("^[a-z0-9]+(-[a-z0-9]+)*$"), F.lit(False)), "name isn't in kebab case")])
+
+
+def source_folder_errors(root: str, sources: list[str]) -> list[tuple[str, str]]:
+    """Sources of a manifest on the driver that are no folder below root, links followed."""
+    top, out = Path(root).resolve(), []
+    for source in sources:
+        real = (top / source).resolve()
+        reason = "leaves the tree" if not real.is_relative_to(top) else "not found" if not real.exists() else "no folder" if not real.is_dir() else None
+        if reason:
+            out.append((source, reason))
+    return out
+
+
+def merge_receipt(data: dict) -> dict:
+    """What a request's receipt keeps, by name; only of one that was merged."""
+    if data.get("state") != "MERGED":
+        raise ValueError(f"not merged (state: {data.get('state', '')})")
+    return {k: data[k] for k in ("baseRefName", "headRefName", "mergeCommit", "mergedAt", "number", "state", "title", "url") if k in data}
+
+
 def log_table_errors(docs: DataFrame, header: str, columns: int, id_col: str = "doc_id", column: str = "text") -> DataFrame:
-    """id, errors of Markdown log tables: no header line, and rows with another number of columns."""
+    """id, errors of Markdown log tables: no header line, no rule of dashes, and rows with another number of columns."""
     lines = F.filter(F.split(F.col(column), "\n", -1), lambda x: F.startswith(F.trim(x), F.lit("|")))
     wrong = F.filter(lines, lambda x: F.size(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|", -1)) != columns)
-    return docs.select(F.col(id_col).alias("id"), evidence.errors([(~F.array_contains(lines, header), "no header"), (F.size(wrong) > 0, "a row has another number of columns")]).alias("errors"))
+    return docs.select(F.col(id_col).alias("id"), evidence.errors([(~F.array_contains(lines, header), "no header"), (~F.exists(lines, lambda x: F.contains(x, F.lit("---"))), "no rule"), (F.size(wrong) > 0, "a row has another number of columns")]).alias("errors"))
