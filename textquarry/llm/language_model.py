@@ -421,7 +421,7 @@ def train(rows: DataFrame, layout: Layout, model: Model) -> Model:
 
     bounded_batches(spark)
     dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "numbers", "doc_id", F.xxhash64("numbers").alias("tie"))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", "tie").select("shard", "numbers")
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "tie").select("shard", "numbers")  # a task a shard: a hash would put several into one
     sums = dealt.mapInArrow(run, "total array<double>, weight double").select("weight", F.posexplode("total").alias("k", "value"))
     found = sums.groupBy("k").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow().sort_by("k")
     return model.copy().load(found.column("value").to_numpy()) if len(found) else model
