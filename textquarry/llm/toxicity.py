@@ -108,14 +108,17 @@ def telling(doc: np.ndarray, word: np.ndarray, of_word: np.ndarray, feature: np.
     return n * np.maximum(np.abs(a * d - b * c) - n / 2, 0) ** 2 / np.maximum(1.0 * have * (n - have) * toxic * (n - toxic), 1) >= CHI2
 
 
-def bags_of(texts: list[str]) -> tuple[list[list[str]], list[list[int]]]:
-    """All different sentences of each text as their words, numbered through, and each text's bag of these numbers."""
-    sentences, bags = [], []
+def bags_of(texts: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """The words of all different sentences of each text, numbered by index (which grows), one after another; how many words each sentence has; and each text's bag of sentence numbers."""
+    words, lengths, bags = array("i"), array("i"), []
     for text in texts:
-        mine = dict.fromkeys(x for m in SENTENCE.finditer(text) if (x := m.group().strip()))
-        bags.append(list(range(len(sentences), len(sentences) + len(mine))))
-        sentences += [x.split() for x in mine]
-    return sentences, bags
+        begin = len(lengths)
+        for sentence in dict.fromkeys(x for m in SENTENCE.finditer(text) if (x := m.group().strip())):
+            own = [index.setdefault(w, len(index)) for w in sentence.split()]
+            words.extend(own)
+            lengths.append(len(own))
+        bags.append(list(range(begin, len(lengths))))
+    return np.array(words, dtype=np.int32), np.array(lengths, dtype=np.int32), bags
 
 
 def strongest(z: np.ndarray, bag: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -126,13 +129,12 @@ def strongest(z: np.ndarray, bag: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, unions: int = UNIONS) -> Model:
     """Noisy-or likelihood by full-batch Adam; words are looked up once, sentences are sparse rows of words, bags are rows of sentences."""
-    sentences, bags = bags_of(texts)
-    bias, weights = START_BIAS, np.zeros(FEATURES)
+    index: dict[str, int] = {}
+    word_of, lengths, bags = bags_of(texts, index)
+    sentences, bias, weights = len(lengths), START_BIAS, np.zeros(FEATURES)
     if not sentences or len(set(labels)) < 2:
         return Model({}, bias)
-    index: dict[str, int] = {}
-    word_of = np.array([index.setdefault(w, len(index)) for x in sentences for w in x], dtype=np.int32)
-    sentence_of = np.repeat(np.arange(len(sentences), dtype=np.int32), [len(x) for x in sentences])
+    sentence_of = np.repeat(np.arange(sentences, dtype=np.int32), lengths)
     doc_of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(b) for b in bags])
     of_word, feature = array("i"), array("i")
     for w, k in index.items():
@@ -151,13 +153,13 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, unions: int
     m1, m2, b1, b2 = np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0
     for t in range(1, epochs + 1):
         by_word = np.bincount(of_word, weights[feature], len(index))
-        z = np.clip(bias + np.bincount(sentence_of, by_word[word_of], len(sentences)), -30, 30)
+        z = np.clip(bias + np.bincount(sentence_of, by_word[word_of], sentences), -30, 30)
         top = strongest(z[member], bag, first)
         of, z = bag[top], z[member[top]]
         p, s = 1 / (1 + np.exp(-z)), np.bincount(of, np.logaddexp(0, z), n)
         by_bag = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(s, 50)), 1e-6), 1.0) / n
         slope = p * by_bag[of]
-        of_sentence = np.bincount(member[top], slope, len(sentences))
+        of_sentence = np.bincount(member[top], slope, sentences)
         g = np.bincount(feature, np.bincount(word_of, of_sentence[sentence_of], len(index))[of_word], FEATURES) + DECAY * weights
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         gb = slope.sum()
