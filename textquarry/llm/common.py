@@ -48,6 +48,16 @@ def release(spark: SparkSession, since: int = 0, but: tuple[str, ...] = ()) -> N
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def mark() -> int:
+    """A number for release(): the tables that are written from now on."""
+    return len(_scratch)
+
+
+def newest() -> tuple[str, ...]:
+    """The table that was written last, for release() to spare."""
+    return tuple(_scratch[-1:])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
