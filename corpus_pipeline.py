@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import exact_dedup, near_dedup, packing, pii, toxicity
+from textquarry.llm import common, exact_dedup, near_dedup, packing, pii, toxicity
 from textquarry.llm.common import crc_mod, table, written
 
 
@@ -22,9 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, f"pipeline_digests_{uuid.uuid4().hex}")
-    stay = exact_dedup.keep_first(docs, index)
-    index.drop()
-    return stay
+    try:
+        return exact_dedup.keep_first(docs, index)  # which has read the index by then
+    finally:
+        index.drop()
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Every stage's tables go when its output is written, and the output when the next stage's is; the last one stays."""
+    docs, before = table(spark, sf_dir, "documents"), common.mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.release(spark, before, common.newest())
     return docs
