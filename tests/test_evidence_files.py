@@ -31,7 +31,7 @@ def test_text_helpers(spark):
 def test_text_functions_of_whole_texts(spark, tmp_path):
     body = " a ,b\n\n" * 100 + ", last tag "
     spark.createDataFrame([(1, body)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    row = queries.text_functions_whole(spark, str(tmp_path)).first()
+    row = queries.text_functions(spark, str(tmp_path)).first()
     assert row.tags == "|".join(["a"] + [x.strip() for x in body.split(",")[1:]])
     assert row.tags.endswith("last tag") and row.collapsed == " ".join(body.split()) and len(row.collapsed) > 300
 
@@ -48,7 +48,7 @@ def test_first_difference_of_whole_texts(spark, tmp_path, monkeypatch):
             if b is not None:
                 want[k] = len(b) if a is None else -1 if a == b else next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     assert any(v >= 60 for v in want.values())
-    got = queries.first_difference_whole(spark, str(tmp_path)).collect()
+    got = queries.first_difference(spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {r.doc_id: r["at"] for r in got} == want
 
 

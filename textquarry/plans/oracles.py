@@ -328,8 +328,6 @@ def oracle_sql() -> dict[str, str]:
         "newest_orders": "SELECT strftime(o_orderdate, '%Y%m%d') || '_' || lpad(o_orderkey::VARCHAR, 8, '0') AS receipt, o_orderkey FROM orders ORDER BY receipt DESC LIMIT 20",
         "last_events": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 20",
         "text_functions": r"""SELECT doc_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50) AS slug, CASE WHEN length(text) > 120 THEN substr(text, 1, 117) || '...' ELSE text END AS short, substr(sha256(text), 1, 16) AS path_hash,
- array_to_string(list_filter(list_transform(string_split(substr(text, 1, 200), ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '|') AS tags, regexp_replace(regexp_replace(substr(text, 1, 300), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS collapsed, CASE WHEN text LIKE '%' || chr(10) THEN len(string_split(text, chr(10))) - 1 ELSE len(string_split(text, chr(10))) END AS n_lines, 4::BIGINT AS n_range FROM documents""",
-        "text_functions_whole": r"""SELECT doc_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50) AS slug, CASE WHEN length(text) > 120 THEN substr(text, 1, 117) || '...' ELSE text END AS short, substr(sha256(text), 1, 16) AS path_hash,
  array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '|') AS tags, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS collapsed, CASE WHEN text LIKE '%' || chr(10) THEN len(string_split(text, chr(10))) - 1 ELSE len(string_split(text, chr(10))) END AS n_lines, 4::BIGINT AS n_range FROM documents""",
         "extract_normalize": r"""SELECT doc_id, CASE WHEN t = '' THEN '' ELSE t || chr(10) END AS normalized FROM (SELECT doc_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(replace(replace(text, '. ', '. ' || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10) || ' '), chr(13) || chr(10), chr(10)), chr(10)), lambda x: rtrim(x)), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents)""",
         "document_lints": LINTS,
@@ -338,6 +336,5 @@ def oracle_sql() -> dict[str, str]:
         "search_lines": SEARCH,
         "lexicon_preview": previews_sql(),
         "json_check": "SELECT event_id, json_valid(CASE WHEN event_id % 17 = 0 THEN props || '}' ELSE props END) AS valid FROM events",
-        "first_difference": "WITH p AS (SELECT doc_id, substr(text, 1, 50) AS a, lead(substr(text, 1, 50)) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents) SELECT doc_id, CASE WHEN a = b THEN -1 ELSE coalesce(list_position(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, i, 1) = substr(b, i, 1)), false) - 1, least(length(a), length(b))) END::BIGINT AS at FROM p WHERE b IS NOT NULL",
-        "first_difference_whole": "WITH p AS (SELECT doc_id, text AS a, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents) SELECT doc_id, CASE WHEN a = b THEN -1 ELSE coalesce(list_position(list_transform(list_zip(string_split(a, ''), string_split(b, ''), true), lambda x: x[1] = x[2]), false) - 1, least(length(a), length(b))) END::BIGINT AS at FROM p WHERE b IS NOT NULL",
+        "first_difference": "WITH p AS (SELECT doc_id, text AS a, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents) SELECT doc_id, CASE WHEN a = b THEN -1 ELSE coalesce(list_position(list_transform(list_zip(string_split(a, ''), string_split(b, ''), true), lambda x: x[1] = x[2]), false) - 1, least(length(a), length(b))) END::BIGINT AS at FROM p WHERE b IS NOT NULL",
     }

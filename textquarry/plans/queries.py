@@ -346,31 +346,15 @@ def last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.last_rows(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", MANY)
 
 
-def of_functions(d: DataFrame, tagged: Column, collapsed: Column) -> DataFrame:
-    t = F.col("text")
-    return d.select("doc_id", text.slug(t).alias("slug"), text.truncated(t).alias("short"), text.path_hash(t).alias("path_hash"), F.array_join(text.tags(tagged), "|").alias("tags"), text.collapse(collapsed).alias("collapsed"), F.size(text.universal_lines(t)).cast("long").alias("n_lines"), F.size(text.number_range(F.concat((F.col("doc_id") % 5).cast("string"), F.lit(".."), (F.col("doc_id") % 5 + 3).cast("string")))).cast("long").alias("n_range"))
-
-
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags of the first 200 code points and the first 300 collapsed, as its SQL has them; text_functions_whole has no such bounds."""
-    return of_functions(table(spark, sf_dir, "documents"), F.substring("text", 1, 200), F.substring("text", 1, 300))
-
-
-def text_functions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return of_functions(table(spark, sf_dir, "documents"), F.col("text"), F.col("text"))
+    t, d = F.col("text"), table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.slug(t).alias("slug"), text.truncated(t).alias("short"), text.path_hash(t).alias("path_hash"), F.array_join(text.tags(t), "|").alias("tags"), text.collapse(t).alias("collapsed"), F.size(text.universal_lines(t)).cast("long").alias("n_lines"), F.size(text.number_range(F.concat((F.col("doc_id") % 5).cast("string"), F.lit(".."), (F.col("doc_id") % 5 + 3).cast("string")))).cast("long").alias("n_range"))
 
 
 def extract_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", text.normalized_extract(F.replace("text", F.lit(". "), F.lit(". \r\n\r\n\r\n "))).alias("normalized"))
 
 
-def first_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours' first 50 code points, as its SQL has them; first_difference_whole compares whole texts."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    pairs = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 50).alias("a")).withColumn("b", F.lead("a").over(w)).filter("b IS NOT NULL")
-    return pairs.select("doc_id", text.first_difference(F.col("a"), F.col("b")).cast("long").alias("at"))
-
-
 def with_next(docs: DataFrame) -> DataFrame:
     """docs: doc_id, source, text. Each document with a next one of its source (by doc_id, then text), as a, and that one's text as b (both may be null).
     The next comes from ranges of doc_id; the last of a range has the head of the source's next range. A source has RANGES heads at most, so no task sees a whole source."""
@@ -385,7 +369,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     return followed.unionByName(last).select("doc_id", F.col("row.text").alias("a"), F.col("next.text").alias("b"))
 
 
-def first_difference_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def first_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = with_next(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).filter("b IS NOT NULL")
     return pairs.select("doc_id", text.first_difference(F.col("a"), F.col("b")).cast("long").alias("at"))
 
