@@ -79,7 +79,9 @@ def policy_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def policy_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = policy_scan_pii(spark, sf_dir)
-    return policy.severity_counts(found).join(policy.violations(found, "high").select("violations", F.array_join("policy_ids", ",").alias("policy_ids")))
+    counts, over = policy.severity_counts(found), policy.violations(found, "high").select("violations", F.array_join("policy_ids", ",").alias("policy_ids"))
+    both = counts.unionByName(over, allowMissingColumns=True)  # a row each, drawn together
+    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
 
 
 def policy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
