@@ -71,24 +71,36 @@ def groups(batch: DataFrame) -> DataFrame:
     return batch.groupBy("digest").agg(F.min(order).alias("keep"), F.count(F.lit(1)).alias("group_size")).select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size")
 
 
+def indexed(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The digests of docs, and the index's rows for them, after those that it lacked were added."""
+    rows = written(digests(docs, id_col, text_col), "digests")
+    return rows, index.add(written(groups(rows), "groups"), batch)
+
+
 def deduplicate(docs: DataFrame, index: DigestIndex, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256; a text that the index had before is not kept and names the indexed row.
 
     The last join has both sides shuffled by digest and nothing above that needs them together, so adaptive execution can split a hot digest.
     """
     batch = batch or uuid.uuid4().hex
-    rows = written(digests(docs, id_col, text_col), "digests")
-    known = index.add(written(groups(rows), "groups"), batch)
+    rows, known = indexed(docs, index, batch, id_col, text_col)
     found = rows.join(known, "digest")
     kept = (F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))
     return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
-    """The documents that stay, with all their columns. A doc_id may name several rows: its rows are told apart by digest, and of rows equal in both the one with the most code points stays, then the first."""
-    answers = deduplicate(docs, index, batch).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"), "kept")
-    by_key = answers.groupBy("id", "digest").agg(F.max("kept").alias("some"), F.min("kept").alias("every"))
-    doubtful = written(by_key.filter("NOT every").select("id", "digest", "some"), "doubtful")
+    """The documents that stay, with all their columns. A doc_id may name several rows: its rows are told apart by digest, and of rows equal in both the one with the most code points stays, then the first.
+
+    Rows meet what stays by their numbers, and keys by id and digest, so a hot digest is never one task's.
+    """
+    batch = batch or uuid.uuid4().hex
+    rows, known = indexed(docs, index, batch)
+    stays = known.filter(F.col("batch") == batch)
+    gone = rows.join(stays.select(F.col("keep_row").alias("row")), "row", "left_anti").select(F.col("doc_id").alias("id"), "digest").distinct()
+    kept = stays.select(F.col("keep_id").alias("of"), F.col("digest").alias("mark"), F.lit(True).alias("some"))
+    met = gone.join(kept, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("mark")), "left")
+    doubtful = written(met.select("id", "digest", F.coalesce("some", F.lit(False)).alias("some")), "doubtful")
     return without(docs, doubtful, lambda rows: rows.select("row", "id", normal_digest(F.col("text")).alias("digest"), F.char_length("text").alias("n")))
 
 
