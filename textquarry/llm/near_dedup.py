@@ -172,6 +172,11 @@ def mixed_only(rows: DataFrame) -> DataFrame:
     return rows.join(mixed, "h")
 
 
+def open_only(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows: h, node and others. Those of buckets that hold several components, with their labels, written. rows are read twice, so they are written first."""
+    return written(mixed_only(written(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")), "mixed")
+
+
 def shareable(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """rows: h, node, n, pivot and others. shared becomes the number of a node's shingles that any other of these nodes or their pivots has: no intersection is larger. Nodes of which that leaves no similarity go."""
     nodes = rows.select("node").unionByName(rows.select(F.col("pivot").alias("node")).filter("node IS NOT NULL")).distinct()
@@ -210,13 +215,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
     links = similar(first_round, percent)
     pivots = first_round.select(F.col("b").alias("node"), F.col("a").alias("pivot"), F.col("both").cast("long").alias("inside"))
     places = buckets.groupBy("node").agg(F.collect_set("h").alias("places"))  # as many as bands at most
-    left, centres, turn = buckets.withColumn("shared", F.col("n")).join(pivots, "node", "left"), 1, 0
-    labels = components(links)
+    labels, centres, turn = components(links), 1, 0
+    left = open_only(buckets.withColumn("shared", F.col("n")).join(pivots, "node", "left"), labels)
     while True:
-        left = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        left = written(mixed_only(left), "mixed")
         if turn >= KNOWN_TURNS and not left.isEmpty():
-            left = written(mixed_only(shareable(left, sets, percent)).join(places, "node"), "shareable")
+            left = written(mixed_only(written(shareable(left, sets, percent), "shareable")).join(places, "node"), "placed")
         if left.isEmpty():
             break
         # Nodes of a bucket go by fame at first, later those of the smallest components come first.
@@ -243,7 +246,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
         if not new.isEmpty():
             links = links.unionByName(new)
             labels = components(links)
-        left, turn = ordered.join(first.select(F.col("at").alias("h"), F.col("a").alias("node")), ["h", "node"], "left_anti").select(carried), turn + 1
+        untried = ordered.join(first.select(F.col("at").alias("h"), F.col("a").alias("node")), ["h", "node"], "left_anti").select(carried)
+        left, turn = open_only(untried, labels), turn + 1
 
     label = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = label.groupBy("label").agg(F.min("least_id").alias("component_id"))
