@@ -38,7 +38,7 @@ from textquarry.llm.graph import components
 BANDS, ROWS, PERCENT = 32, 5, 80
 #: Rounds in which a bucket's best-known node is its centre; by how much the number of centres grows after that.
 KNOWN_TURNS, GROW = 2, 8
-#: Parts of a bucket in which its centres are looked for first.
+#: Parts of a bucket in which its centres are looked for first, and of a centre's edges.
 SALTS = 16
 #: Sets of fewer shingles can't be similar to a different set: 4 of 5 is the first 0.8.
 LEAST_SHINGLES = 4
@@ -152,10 +152,11 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def measured(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The edges (a centre, b) with the size of the intersection of the full sets, both, and similar's two sizes. b's set meets the edge first; a centre's set then joins many edges, and adaptive execution may split those."""
+    """The edges (a centre, b) with the size of the intersection of the full sets, both, and similar's two sizes. b's set meets the edge first; a centre may have most of the edges, so these meet copies of its set in up to SALTS parts."""
+    edges = edges.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     leaf = edges.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-    centre = edges.select("a").distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
-    return leaf.join(centre, "a").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"))
+    centre = edges.select("a", "part").distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
+    return leaf.join(centre, ["a", "part"]).select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"))
 
 
 def similar(measures: DataFrame, percent: int) -> DataFrame:
