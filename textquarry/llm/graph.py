@@ -12,20 +12,43 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges: columns a, b (long). node, label: the smallest node that can be reached, for every node but the smallest ones themselves.
+class Forest:
+    """Components that links are added to, in passes of one large-star and one small-star step each.
 
-    Each step keeps at most as many edges as there were, so nothing grows with the square of a group; every step is a written table.
+    labels(): node, label, where nodes of equal labels are connected; once settled, also the other way round, and the label is the smallest node that
+    can be reached (a node without a row is its own label). Every pass goes on from the one before, on no more edges than
+    that had and the new links together, so nothing grows with the square of a group; its result is a written table.
     """
-    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = _mark(now)
-    while True:
+
+    def __init__(self):
+        self.edges, self.mark, self.settled = None, None, True
+
+    def grow(self, links: DataFrame | None = None) -> None:
+        """One pass, over new links too (columns a, b: long)."""
+        now = self.edges
+        if links is not None:
+            new = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+            now = new if now is None else now.unionByName(new)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = written(large, "large-star")
+        large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        if mark == (mark := _mark(now)):
-            return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        self.edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        before, self.mark = self.mark, _mark(self.edges)
+        self.settled = before == self.mark
+
+    def settle(self) -> None:
+        while not self.settled:
+            self.grow()
+
+    def labels(self) -> DataFrame:
+        return self.edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges: columns a, b (long). node, label: the smallest node that can be reached, for every node but the smallest ones themselves."""
+    forest = Forest()
+    forest.grow(edges)
+    forest.settle()
+    return forest.labels()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import id_and_text, lists, map_batches, table, without, written
-from textquarry.llm.graph import components
+from textquarry.llm.graph import Forest
 
 BANDS, ROWS, PERCENT = 32, 5, 80
 #: Rounds in which a bucket's best-known node is its centre; by how much the number of centres grows after that.
@@ -216,11 +216,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
     links = similar(first_round, percent)
     pivots = first_round.select(F.col("b").alias("node"), F.col("a").alias("pivot"), F.col("both").cast("long").alias("inside"))
     places = buckets.groupBy("node").agg(F.collect_set("h").alias("places"))  # as many as bands at most
-    labels, centres, turn = components(links), 1, 0
-    left = open_only(buckets.withColumn("shared", F.col("n")).join(pivots, "node", "left"), labels)
+    # Equal labels mean connected nodes from the first pass on, which is all that the rounds need; components are settled after the last.
+    forest, centres, turn = Forest(), 1, 0
+    forest.grow(links)
+    left = open_only(buckets.withColumn("shared", F.col("n")).join(pivots, "node", "left"), forest.labels())
     while True:
         if turn >= KNOWN_TURNS and not left.isEmpty():
-            left = written(mixed_only(written(shareable(left, sets, percent), "shareable")).join(places, "node"), "placed")
+            left = written(mixed_only(written(shareable(left, sets, percent), "shareable")), "shared")
         if left.isEmpty():
             break
         # Nodes of a bucket go by fame at first, later those of the smallest components come first.
@@ -229,9 +231,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
         else:
             centres *= GROW
             sizes = left.groupBy("h", "label").agg(F.count(F.lit(1)).alias("of_label"))
-            left = left.join(sizes, ["h", "label"]).withColumn("place", F.struct(F.col("of_label").alias("k"), "node"))
+            left = left.join(sizes, ["h", "label"]).join(places, "node").withColumn("place", F.struct(F.col("of_label").alias("k"), "node"))
         carried = ["h", "node", "n", "known", "shared", "pivot", "inside"]
-        ordered = written(left.select(*carried, "label", "place", *["places"][: turn >= KNOWN_TURNS]), "ordered")
+        ordered = left.select(*carried, "label", "place", *["places"][: turn >= KNOWN_TURNS])
+        if turn >= KNOWN_TURNS:
+            ordered = written(ordered, "ordered")
         # The centres: a limit of so many a bucket, which Spark applies inside each task before it moves anything; first in SALTS parts of each bucket, so that no task gets those of all tasks of a hot one.
         first = ordered
         for parts in (["h", F.pmod(F.xxhash64("node"), F.lit(SALTS))], ["h"]):
@@ -246,11 +250,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, band
         new = written(similar(measured(tried.select("a", F.col("node").alias("b")).distinct(), sets), percent), "links")
         if not new.isEmpty():
             links = links.unionByName(new)
-            labels = components(links)
+            forest.grow(new)
+        elif not forest.settled:
+            forest.grow()
         untried = ordered.join(first.select(F.col("at").alias("h"), F.col("a").alias("node")), ["h", "node"], "left_anti").select(carried)
-        left, turn = open_only(untried, labels), turn + 1
+        left, turn = open_only(untried, forest.labels()), turn + 1
 
-    label = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    forest.settle()
+    label = classes.join(forest.labels(), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = label.groupBy("label").agg(F.min("least_id").alias("component_id"))
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = written(label.join(least, "label").join(degree, "node", "left").select("digest", "label", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "known")
