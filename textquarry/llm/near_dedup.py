@@ -36,8 +36,8 @@ from textquarry.llm.common import id_and_text, lists, map_batches, table, withou
 from textquarry.llm.graph import Forest
 
 BANDS, ROWS, PERCENT = 32, 5, 80
-#: Rounds in which a bucket's best-known node is its centre; by how much the number of centres grows after that.
-KNOWN_TURNS, GROW = 2, 8
+#: Rounds in which a bucket's best-known node is its centre; by what factor the number of centres grows after that.
+KNOWN_TURNS, GROW = 1, 64
 #: Parts of a bucket in which its centres are looked for first, and of a centre's edges.
 SALTS = 16
 #: Sets of fewer shingles can't be similar to a different set: 4 of 5 is the first 0.8.
