@@ -178,3 +178,51 @@ def test_audit_and_paths(spark, tmp_path):
     df = spark.createDataFrame([("/r/a/b", "good-name"), ("/ra/b", "BadName"), ("/r", None)], "p string, n string")
     assert [r[0] for r in df.select(trees.relative_to(F.col("p"), "/r/")).collect()] == ["a/b", "/ra/b", "/r"]
     assert [len(r[0]) for r in df.select(trees.name_warnings(F.col("n"))).collect()] == [0, 1, 1]
+
+
+def test_logs_of_any_length(spark, tmp_path):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from textquarry.operators import evidence
+    from textquarry.plans import queries
+    from textquarry.plans.oracles import LOG_RECEIPTS
+
+    # One nation has nearly all customers; some have no nation, name or number, or a name that would end a cell or a line.
+    odd = F.when(F.col("id") % 101 == 1, None).when(F.col("id") % 103 == 1, "a | b\n| c").otherwise(F.concat(F.lit("C"), F.col("id").cast("string")))
+    nation = F.when(F.col("id") % 50 == 7, None).when(F.col("id") % 50 == 8, 4).otherwise(3).cast("int")
+    number = F.when(F.col("id") % 997 == 0, None).otherwise(F.col("id") * 5 + F.col("id") % 3)
+    spark.range(9000).select(number.alias("c_custkey"), odd.alias("c_name"), nation.alias("c_nationkey"), F.when(F.col("id") % 7 > 0, "M").alias("c_mktsegment")).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    key = lambda r: tuple((v is not None, v) for v in r)
+    want, found = con.sql(LOG_RECEIPTS).fetchall(), queries.log_receipts(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key) and len(want) > 7000
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+
+    lines = queries.log_lines(spark, str(tmp_path)).filter("doc_id = 4")
+    text = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    rows = evidence.log_rows(text)
+    assert sorted(map(tuple, rows.collect()), key=key) == sorted(map(tuple, evidence.log_line_rows(lines).collect()), key=key)
+
+
+def test_a_log_is_not_copied_to_its_lines(spark):
+    import re
+
+    from textquarry.operators import evidence
+
+    docs = spark.createDataFrame([(1, "| no rule |"), (2, evidence.log_header()), (3, "|---|\n| 2024-01-02 | `x` |")], "doc_id long, text string")
+    rows = evidence.log_rows(docs, columns=2)
+    assert [tuple(r) for r in rows.collect()] == [(3, 2, "standard", "x")]
+    kept = re.findall(r", \[([^\[\]]*)\], (?:true|false), \[\w+#", rows._jdf.queryExecution().executedPlan().toString())
+    assert kept and all("text" not in k for k in kept)
+
+
+def test_receipts_that_are_not_looked_up(spark):
+    from textquarry.operators import evidence
+
+    rows = spark.createDataFrame([(1, 8, "legacy", None), (None, 9, "standard", "a/x.canonical.json"), (1, 10, "standard", None), (1, 11, "standard", "a/y.canonical.json"), (1, 12, "standard", "b/y.canonical.json"), (1, 13, "standard", "a/y.json")], "id long, line long, kind string, receipt string")
+    there = spark.createDataFrame([("a/y.canonical.json",), ("a/y.canonical.json",), ("b/y.canonical.json",), ("1:8",), (None,)], "path string")
+    got = {r.line: r.error for r in evidence.with_receipt_errors(rows, there, "a/").collect()}
+    assert got == {8: None, 9: "not found", 10: "no receipt", 11: None, 12: "another folder", 13: "another ending"}
+    assert evidence.receipt_errors(rows, there, "a/").count() == 4

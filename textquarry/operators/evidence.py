@@ -60,24 +60,49 @@ def log_header(title: str = "Validation Log", about: str = "This log tracks vali
     return f"# {title}\n\n{about}\n\n| {' | '.join(columns)} |\n|{'---|' * len(columns)}\n"
 
 
-def log_rows(docs: DataFrame, id_col: str = "doc_id", column: str = "text", columns: int = len(LOG_COLUMNS)) -> DataFrame:
-    """id, line (from 1), kind, receipt of the rows of log tables: legacy by a first cell like VL-20240131-1, standard by a date; other rows, and those before the first rule of dashes, are none. receipt: the path in back quotes of a standard row's last cell, null if it has none."""
-    is_rule = lambda x: F.startswith(F.trim(x), F.lit("|")) & F.contains(x, F.lit("---"))
-    lines = F.split(F.col(column), "\n", -1)
-    begins = F.array_position(F.transform(lines, is_rule), F.lit(True))
-    rows = docs.select(F.col(id_col).alias("id"), begins.alias("rule"), F.posexplode(lines).alias("k", "text")).filter((F.col("rule") > 0) & (F.col("k") >= F.col("rule")) & F.startswith(F.trim("text"), F.lit("|")) & ~is_rule(F.col("text")))
+def _is_rule(line: Column) -> Column:
+    return F.startswith(F.trim(line), F.lit("|")) & F.contains(line, F.lit("---"))
+
+
+def _parsed(lines: DataFrame, columns: int) -> DataFrame:
+    """lines: id, line, text."""
+    rows = lines.filter(F.startswith(F.trim("text"), F.lit("|")) & ~_is_rule(F.col("text")))
     cells = F.transform(F.split(F.regexp_replace(F.trim("text"), r"^\||\|$", ""), r"\|", -1), lambda c: F.trim(c))
     rows = rows.withColumn("cells", cells).filter(F.size("cells") == columns)
     kind = F.when(F.col("cells")[0].rlike(r"^VL-\d{8}-\d+"), "legacy").when(F.col("cells")[0].rlike(r"^\d{4}-\d{2}-\d{2}"), "standard")
     receipt = F.when(F.col("kind") == "standard", F.nullif(F.regexp_extract(F.element_at("cells", -1), r"`([^`]+)`", 1), F.lit("")))
-    return rows.withColumn("kind", kind).filter("kind IS NOT NULL").select("id", (F.col("k") + 1).alias("line"), "kind", receipt.alias("receipt"))
+    return rows.withColumn("kind", kind).filter("kind IS NOT NULL").select("id", "line", "kind", receipt.alias("receipt"))
+
+
+def log_rows(docs: DataFrame, id_col: str = "doc_id", column: str = "text", columns: int = len(LOG_COLUMNS)) -> DataFrame:
+    """id, line (from 1), kind, receipt of the rows of log tables: legacy by a first cell like VL-20240131-1, standard by a date; other rows, and those before the first rule of dashes, are none. receipt: the path in back quotes of a standard row's last cell, null if it has none."""
+    lines = F.split(F.col(column), "\n", -1)
+    begins = F.array_position(F.transform(lines, _is_rule), F.lit(True)).cast("int")
+    # The rule is found once a text, inside the generator: as a column beside it, Spark would copy the text to each of its lines and split it there again.
+    after = F.slice(F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))), begins + 1, F.size(lines))
+    return _parsed(docs.select(F.col(id_col).alias("id"), F.inline(F.when(begins > 0, after))), columns)
+
+
+def log_line_rows(lines: DataFrame, id_col: str = "doc_id", line: str = "line", column: str = "text", columns: int = len(LOG_COLUMNS)) -> DataFrame:
+    """As log_rows(), of logs that are there by lines (numbered from 1 in each log), so that a log may be larger than a task's memory. Lines without an id are one log."""
+    lines = lines.select(F.col(id_col).alias("id"), F.col(line).alias("line"), F.col(column).alias("text"))
+    begins = lines.filter(_is_rule(F.col("text"))).groupBy("id").agg(F.min("line").alias("rule"))
+    return _parsed(lines, columns).alias("l").join(begins.alias("b"), F.col("l.id").eqNullSafe(F.col("b.id")) & (F.col("line") > F.col("rule"))).select("l.id", "line", "kind", "receipt")
+
+
+def with_receipt_errors(rows: DataFrame, receipts: DataFrame, prefix: str, suffix: str = ".canonical.json") -> DataFrame:
+    """rows as log_rows() gives them, and error, null for other rows than standard ones and where nothing is wrong. receipts: path. Errors: no receipt, another folder or ending than the two, or a receipt that isn't there; the first that holds."""
+    known = receipts.select(F.col("path").alias("_key"), F.lit(True).alias("_there")).distinct()
+    error = F.when(F.col("receipt").isNull(), "no receipt").when(~F.startswith("receipt", F.lit(prefix)), "another folder").when(~F.endswith("receipt", F.lit(suffix)), "another ending")
+    # Rows that aren't looked up get keys of their own: by a null they would all meet in one task.
+    asked = rows.withColumn("error", F.when(F.col("kind") == "standard", F.coalesce(error, F.lit("not found"))))
+    asked = asked.withColumn("_key", F.when(F.col("error") == "not found", F.col("receipt")).otherwise(F.concat_ws(":", F.col("id").cast("string"), F.col("line").cast("string"))))
+    return asked.join(known, "_key", "left").withColumn("error", F.when((F.col("error") != "not found") | F.col("_there").isNull(), F.col("error"))).select("id", "line", "kind", "receipt", "error")
 
 
 def receipt_errors(rows: DataFrame, receipts: DataFrame, prefix: str, suffix: str = ".canonical.json") -> DataFrame:
-    """rows as log_rows() gives them. receipts: path. id, line, error of standard rows: no receipt, another folder or ending than the two, or a receipt that isn't there; the first that holds."""
-    known = receipts.select(F.col("path").alias("receipt"), F.lit(True).alias("_there")).distinct()
-    error = F.when(F.col("receipt").isNull(), "no receipt").when(~F.startswith("receipt", F.lit(prefix)), "another folder").when(~F.endswith("receipt", F.lit(suffix)), "another ending").when(F.col("_there").isNull(), "not found")
-    return rows.filter("kind = 'standard'").join(known, "receipt", "left").withColumn("error", error).filter("error IS NOT NULL").select("id", "line", "error")
+    """id, line, error of the rows where with_receipt_errors() finds something wrong."""
+    return with_receipt_errors(rows, receipts, prefix, suffix).filter("error IS NOT NULL").select("id", "line", "error")
 
 
 def newest_decisions(docs: DataFrame, n: int = 10, path: str = "path", column: str = "text") -> DataFrame:
